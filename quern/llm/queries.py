@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.exact_dedup import dedup_exact
+from quern.llm.line_dedup import dedup_lines
 from quern.llm.pieces import digest_pieces
 from quern.llm.sharding import shard_documents
+from quern.llm.simhash import near_groups
 from quern.llm.token_counts import count_tokens
 from quern.llm.token_files import read_token_files, write_token_files
 
@@ -35,6 +37,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), least_chars=20, least_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(_documents(spark, sf_dir))
 
@@ -44,10 +55,21 @@ QUERIES = {
     "op4_pieces": op4_pieces,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_simhash": op8_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_line_dedup": r"""
+        with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+             k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+             f as (select key, max(doc_id) as owner from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+             j as (select k.*, f.owner is not null and f.owner <> k.doc_id as lost from k left join f on k.key = f.key)
+        select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
+        from j group by doc_id
+    """,
     "op10_exact_dedup": r"""
         with t as (select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents),
              g as (select body, count(*) as group_size, arg_min(doc_id, (-points, doc_id)) as keep_id from t group by body)

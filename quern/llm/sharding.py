@@ -16,8 +16,6 @@ empty; an empty table gives an empty table.  The columns that are added replace
 of the same names.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,13 +26,13 @@ from pyspark.sql import functions as F
 from quern.llm.arrow import emit, spark_ddl
 from quern.plans.staging import cut
 
-LEAST = -(1 << 63)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Probes between the ends of an open splitter, each round.
 PROBES = 8
 #: Pieces that are exchanged and numbered on their own; about this many bytes, at least this many pieces.
 PIECE_BYTES, PIECES = 4_000_000, 512
 
-COUNTS = pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("rows", pa.int64())])
+COUNTS = pa.schema([(c, pa.int64()) for c in ("bucket", "size", "rows", "a0", "a1", "b0", "b1")])
 
 
 def locate(bounds_a: np.ndarray, bounds_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,7 +61,7 @@ class Splitters:
         return locate(self.a, self.b, a, b)
 
     @classmethod
-    def by_size(cls, sizes: DataFrame, part_bytes: int) -> Splitters:
+    def by_size(cls, sizes: DataFrame, part_bytes: int) -> "Splitters":
         """Parts of about ``part_bytes`` of ``sizes(a, b, size)``, cut between values of ``a``."""
         sizes = cut(sizes, "sizes")
         total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -71,47 +69,69 @@ class Splitters:
         return cls(sorted(set(find(sizes, [total * k // n for k in range(1, n)], total / n / 50, inside=False))))
 
 
-def below(sizes: DataFrame, bounds: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Exact bytes and rows of keys below each of the sorted bounds."""
+def histogram(sizes: DataFrame, bounds: list[tuple[int, int]]) -> dict[int, tuple[int, ...]]:
+    """Exact bytes and rows, and the least and largest a and b, of each bucket between sorted bounds."""
     at = Splitters(bounds)
-    found = {r["bucket"]: (r["size"], r["rows"]) for r in sizes.mapInArrow(_counting(at), spark_ddl(COUNTS)).groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).collect()}
-    sums = np.cumsum([found.get(k, (0, 0)) for k in range(len(bounds))], axis=0, dtype=np.int64).reshape(-1, 2)
-    return sums[:, 0].tolist(), sums[:, 1].tolist()
+    total = [f(c).alias(c) for f, c in ((F.sum, "size"), (F.sum, "rows"), (F.min, "a0"), (F.max, "a1"), (F.min, "b0"), (F.max, "b1"))]
+    return {r[0]: tuple(r)[1:] for r in sizes.mapInArrow(_counting(at), spark_ddl(COUNTS)).groupBy("bucket").agg(*total).collect()}
+
+
+def rows_below(sizes: DataFrame, bounds: list[tuple[int, int]]) -> list[int]:
+    """Exact rows of keys below each of the sorted bounds."""
+    found = histogram(sizes, bounds)
+    return np.cumsum([found.get(k, (0, 0))[1] for k in range(len(bounds))], dtype=np.int64).tolist()
 
 
 def _counting(at: Splitters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((at.parts, 2), np.int64)
+        least, most = np.full((at.parts, 2), MOST, np.int64), np.full((at.parts, 2), LEAST, np.int64)
         for batch in batches:
             a, b, size = (np.asarray(batch.column(c)) for c in ("a", "b", "size"))
             where = at.locate(a, b)
             total[:, 0] += np.bincount(where, weights=size, minlength=at.parts).astype(np.int64)
             total[:, 1] += np.bincount(where, minlength=at.parts)
+            for k, column in enumerate((a, b)):
+                np.minimum.at(least[:, k], where, column)
+                np.maximum.at(most[:, k], where, column)
         used = np.flatnonzero(total[:, 1])
-        yield emit({"bucket": used, "size": total[used, 0], "rows": total[used, 1]}, COUNTS)
+        ends = {"a0": least[used, 0], "a1": most[used, 0], "b0": least[used, 1], "b1": most[used, 1]}
+        yield emit({"bucket": used, "size": total[used, 0], "rows": total[used, 1], **ends}, COUNTS)
 
     return run
 
 
 class _Search:
-    """The ends between which one splitter's number lies, and the bytes below each end."""
+    """Numbers lo <= x < hi between which one splitter lies, and the bytes below each.
 
-    def __init__(self, target: int, lo: int, hi: int, under: int, over: int, key: Callable[[int], tuple[int, int]]) -> None:
-        self.target, self.lo, self.hi, self.under, self.over, self.key = target, lo, hi, under, over, key
+    ``key`` makes a key of a number; ``part`` is the place of the number in a key.
+    """
+
+    def __init__(self, target: int, lo: int, hi: int, under: int, over: int, key: Callable[[int], tuple[int, int]], part: int) -> None:
+        self.target, self.lo, self.hi, self.under, self.over, self.key, self.part = target, lo, hi, under, over, key, part
 
     def near(self, tolerance: float) -> bool:
         return min(self.target - self.under, self.over - self.target) <= tolerance
 
-    def probes(self) -> set[int]:
-        return {self.lo + (self.hi - self.lo) * k // (PROBES + 1) for k in range(1, PROBES + 1)} - {self.lo, self.hi}
+    def probes(self) -> list[int]:
+        """The ends and the numbers between that are to be counted; a number past the last key needs no count."""
+        between = {self.lo + (self.hi - self.lo) * k // (PROBES + 1) for k in range(1, PROBES + 1)}
+        return sorted(between | {self.lo, self.hi} - {MOST + 1})
 
-    def narrow(self, counted: dict[tuple[int, int], int]) -> None:
+    def narrow(self, index: dict[tuple[int, int], int], sums: np.ndarray, found: dict[int, tuple[int, ...]], last: int) -> None:
         for x in self.probes():
-            n = counted[self.key(x)]
+            n = int(sums[index[self.key(x)]])
             if n <= self.target and x > self.lo:
                 self.lo, self.under = x, n
             elif n > self.target and x < self.hi:
                 self.hi, self.over = x, n
+        end = index[self.key(self.hi)] if self.key(self.hi) in index else last
+        inside = [found[k] for k in range(index[self.key(self.lo)] + 1, end + 1) if k in found]
+        if inside:  # the keys that are there, not only those that could be
+            self.lo = max(self.lo, min(f[2 + 2 * self.part] for f in inside))
+            self.hi = min(self.hi, max(f[3 + 2 * self.part] for f in inside) + 1)
+        else:
+            self.hi = self.lo + 1
 
     def best(self) -> int:
         return self.lo if self.target - self.under <= self.over - self.target else self.hi
@@ -120,9 +140,11 @@ class _Search:
 def _narrowed(sizes: DataFrame, searches: list[_Search], tolerance: float) -> None:
     while open_ := [s for s in searches if s.hi - s.lo > 1 and not s.near(tolerance)]:
         keys = sorted({s.key(x) for s in open_ for x in s.probes()})
-        counted = dict(zip(keys, below(sizes, keys)[0], strict=True))
+        found = histogram(sizes, keys)
+        sums = np.cumsum([found.get(k, (0,))[0] for k in range(len(keys))], dtype=np.int64)
+        index = {k: i for i, k in enumerate(keys)}
         for s in open_:
-            s.narrow(counted)
+            s.narrow(index, sums, found, len(keys))
 
 
 def find(sizes: DataFrame, targets: list[int], tolerance: float, inside: bool = True) -> list[tuple[int, int]]:
@@ -135,15 +157,14 @@ def find(sizes: DataFrame, targets: list[int], tolerance: float, inside: bool =
     ends = sizes.agg(F.min("a"), F.max("a"), F.min("b"), F.max("b"), F.sum("size")).first()
     if ends[0] is None:
         return [(0, LEAST)] * len(targets)
-    searches = [_Search(t, ends[0], ends[1] + 1, 0, ends[4], lambda x: (x, LEAST)) for t in targets]
+    searches = [_Search(t, ends[0], ends[1] + 1, 0, ends[4], lambda x: (x, LEAST), 0) for t in targets]
     _narrowed(sizes, searches, tolerance / 10)
     deep = {}
     for i, s in enumerate(searches):
         if inside and s.hi - s.lo == 1 and not s.near(tolerance):
-            deep[i] = _Search(s.target, ends[2], ends[3] + 1, s.under, s.over, lambda x, a=s.lo: (a, x))
+            deep[i] = _Search(s.target, ends[2], ends[3] + 1, s.under, s.over, lambda x, a=s.lo: (a, x), 1)
     _narrowed(sizes, list(deep.values()), 0)
-    top = (1 << 63) - 1
-    return [deep[i].key(min(deep[i].best(), top)) if i in deep else (min(s.best(), top), LEAST) for i, s in enumerate(searches)]
+    return [deep[i].key(min(deep[i].best(), MOST)) if i in deep else (min(s.best(), MOST), LEAST) for i, s in enumerate(searches)]
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.01) -> DataFrame:
@@ -159,22 +180,23 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.01) -
     pieces = max(PIECES, total // PIECE_BYTES)
     inner = find(sizes, [total * k // pieces for k in range(1, pieces)], total / pieces / 4)
     bounds = sorted({*ends, *inner})
-    rows = [0, *below(sizes, bounds)[1]]
+    rows = [0, *rows_below(sizes, bounds)]
     shard = [sum(e <= b for e in ends) for b in [(LEAST, LEAST), *bounds]]
     first = {s: rows[k] for k, s in reversed(list(enumerate(shard)))}
-    at = Splitters(bounds)
-    table = docs.withColumns({"_a": key["a"], "_b": key["b"], "size": key["size"]}).withColumn("_piece", _placing(at)("_a", "_b"))
+    place = _placing(Splitters(bounds), np.array(shard), np.array([r - first[s] for r, s in zip(rows, shard, strict=True)]))
+    table = docs.withColumns({"_a": key["a"], "_b": key["b"], "size": key["size"]}).withColumn("_at", place("_a", "_b"))
+    table = table.withColumns({"_piece": F.col("_at.piece"), "shard": F.col("_at.shard"), "_slot": F.col("_at.slot")}).drop("_at")
     order = Window.partitionBy("_piece").orderBy("_a", "_b")
-    numbers = F.array(*(F.lit(r - first[s]).cast("long") for r, s in zip(rows, shard, strict=True)))
-    homes = F.array(*(F.lit(s) for s in shard))
-    return table.withColumn("slot", F.row_number().over(order) - 1 + F.get(numbers, F.col("_piece"))).withColumn("shard", F.get(homes, F.col("_piece"))).drop("_a", "_b", "_piece")
+    return table.withColumn("slot", F.row_number().over(order) - 1 + F.col("_slot")).drop("_a", "_b", "_piece", "_slot")
 
 
-def _placing(at: Splitters):
-    @F.pandas_udf("int")
-    def place(a, b):  # noqa: ANN001, ANN202
-        import pandas as pd
+def _placing(at: Splitters, shards: np.ndarray, slots: np.ndarray):
+    """The piece of a key, its shard, and the shard's rows before the piece."""
+    import pandas as pd
 
-        return pd.Series(at.locate(a.to_numpy(), b.to_numpy()).astype(np.int32))
+    @F.pandas_udf("piece int, shard int, slot long")
+    def place(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        piece = at.locate(a.to_numpy(), b.to_numpy())
+        return pd.DataFrame({"piece": piece.astype(np.int32), "shard": shards[piece].astype(np.int32), "slot": slots[piece]})
 
     return place
