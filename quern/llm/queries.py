@@ -6,19 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.decontaminate import find_contaminated
 from quern.llm.exact_dedup import dedup_exact
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.pieces import digest_pieces
+from quern.llm.quality import score_quality
 from quern.llm.sharding import shard_documents
 from quern.llm.simhash import near_groups
 from quern.llm.token_counts import count_tokens
 from quern.llm.token_files import read_token_files, write_token_files
+from quern.llm.toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _held_out(folds: int, held: int):
+    return F.crc32(F.col("doc_id").cast("string")) % folds == held
+
+
+def _classified(scored: DataFrame, folds: int, held: int, *more: str) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(_held_out(folds, held), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *more)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(3, 1))
+    return _classified(score_toxicity(_documents(spark, sf_dir), labels), 3, 1, "windows", "toxic_windows")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(4, 2))
+    return _classified(score_quality(_documents(spark, sf_dir), labels), 4, 2, "log_ratio")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,17 +67,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_documents(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op2_token_counts": op2_token_counts,
     "op4_pieces": op4_pieces,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -253,3 +253,11 @@ def near_groups(docs: DataFrame, form: Form = EXACT) -> DataFrame:
     named = nodes.join(roots, "node", "left").select("search", "verify", F.coalesce("root", "node").alias("component_id"))
     doc_id = F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id")
     return prints.join(named, ["search", "verify"]).select(doc_id, F.lower(F.hex("verify")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, form: Form = NEAR) -> DataFrame:
+    """``docs`` with one document, that of the smallest doc_id, of each group of near copies."""
+    groups = near_groups(docs, form)
+    own = F.coalesce("doc_id", F.lit(NONE))
+    gone = groups.filter(own != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
