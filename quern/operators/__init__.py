@@ -1 +1 @@
-"""operators."""
+"""Relational and statistical operators: functions from DataFrame to DataFrame."""

@@ -1 +1 @@
-"""sources."""
+"""Readers, generators and constants."""

@@ -1 +1 @@
-"""streaming."""
+"""Progressive evaluation over growing inputs, change logs and interaction."""
