@@ -52,7 +52,7 @@ def _spacing(a: Column) -> Column:
     def made(x: pd.Series) -> pd.Series:
         return pd.Series(np.spacing(x.to_numpy(float)))
 
-    return made(a)
+    return F.coalesce(made(a), F.when(a.isNotNull(), nan()))
 
 
 def _nextafter(a: Column, b: Column) -> Column:
@@ -60,7 +60,7 @@ def _nextafter(a: Column, b: Column) -> Column:
     def made(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(np.nextafter(x.to_numpy(float), y.to_numpy(float)))
 
-    return made(a, b)
+    return F.coalesce(made(a, b), F.when(a.isNotNull() & b.isNotNull(), nan()))
 
 
 def _trunc(a: Column) -> Column:

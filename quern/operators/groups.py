@@ -99,7 +99,7 @@ def aggregate(df: DataFrame, by, compute: list[tuple[str, str]], keepdims: bool
 def covariance_matrix(df: DataFrame, columns: list[str], mode: str = "cov", by: list[str] | None = None) -> DataFrame:
     """Long form (first, second, value) of the sample covariances or correlations of all pairs; 0 where a column is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[: i + 1]]
-    f = F.covar_samp if mode == "cov" else lambda a, b: F.coalesce(F.nanvl(F.corr(a, b), F.lit(None).cast("double")), F.lit(0.0))
+    f = F.covar_samp if mode == "cov" else lambda a, b: F.coalesce(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)), F.lit(0.0))
     cells = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), f(a, b).alias("value")) for a, b in pairs))
     grouped = df.groupBy(*(by or [])).agg(cells.alias("_c"))
     return grouped.select(*(by or []), F.inline("_c"))

@@ -53,6 +53,7 @@ def progressive(stream: DataFrame, operator: Operator, observe: Callable[[DataFr
 
     def batch(df: DataFrame, run: int) -> None:
         if ended:
+            df.write.format("noop").mode("overwrite").save()  # a batch must be used up for its state to be kept
             return
         start = time.time()
         if not aggregates:
@@ -64,6 +65,7 @@ def progressive(stream: DataFrame, operator: Operator, observe: Callable[[DataFr
             observe(df, run)
         except StopEarly:
             ended.append(run)
+            df.write.format("noop").mode("overwrite").save()
         trace.add(run=run, start=start, duration=time.time() - start, state="stopped" if ended else "ready")
 
     writer = (operator(stream) if aggregates else stream).writeStream.foreachBatch(batch).trigger(availableNow=True)
