@@ -16,7 +16,7 @@ Links become groups by alternating large-star and small-star steps, each written
 shared folder.
 
 ``NEAR`` is the wider form for near copies at a similarity of 0.8 or more on five-word
-shingles: candidates by eight 24-bit segments over two-word shingles (which change less
+shingles: candidates by ten 24-bit segments over two-word shingles (which change less
 from copy to copy), verified by the distance of 256-bit fingerprints of the five-word
 shingles.
 
@@ -65,7 +65,7 @@ class Form:
 
 
 EXACT = Form()
-NEAR = Form(shingle=5, words=4, distance=46, segments=8, bits=24, search_shingle=2)
+NEAR = Form(shingle=5, words=4, distance=50, segments=10, bits=24, search_shingle=2)
 
 
 def shingles(words: list[bytes], n: int) -> list[bytes]:
