@@ -205,9 +205,47 @@ def _all():
 
 
 def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
-    """quantile, and its exact value in each column."""
-    cells = F.array(*(F.struct(F.lit(q).alias("quantile"), *(F.percentile(clean(df, c), F.lit(q)).alias(c) for c in columns)) for q in at))
-    return df.agg(cells.alias("_q")).select(F.inline("_q"))
+    """quantile, and its exact value in each column.
+
+    Each column keeps one table of its distinct values and their counts; for columns with
+    very many distinct values use :func:`sketch` or :func:`quantile_by_counting`.
+    """
+    found = df.agg(*(F.percentile(clean(df, c), F.array(*map(F.lit, at))).alias(c) for c in columns))
+    cells = F.array(*(F.struct(F.lit(q).alias("quantile"), *(F.get(F.col(c), F.lit(i)).alias(c) for c in columns)) for i, q in enumerate(at)))
+    return found.select(F.inline(cells))
+
+
+def quantile_by_counting(df: DataFrame, column: str, q: float, bins: int = 4096, few: int = 10_000) -> float | None:
+    """An exact quantile (linear between neighbours) of a column of any size.
+
+    Each round counts the values in equal bins of the interval that holds the wanted
+    ranks, and goes on in the bins of those ranks until they hold few values.
+    """
+    values = df.select(clean(df, column).cast("double").alias("v")).filter("v is not null")
+    n, lo, hi = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank = (n - 1) * q
+    low, high, before = math.floor(rank), math.ceil(rank), 0
+    while n > few and hi > lo and math.isfinite(hi - lo):
+        b = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).alias("b")
+        counts = values.filter(F.col("v").between(lo, hi)).groupBy(b).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        seen, kept, start = before, [], before
+        for r in counts:
+            if seen + r["n"] > low and seen <= high:
+                if not kept:
+                    start = seen
+                kept.append(r)
+            seen += r["n"]
+        new = (kept[0]["lo"], kept[-1]["hi"])
+        if new == (lo, hi):
+            break
+        (lo, hi), n, before = new, sum(r["n"] for r in kept), start
+    if hi == lo:
+        return lo
+    inside = [r[0] for r in values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("v").alias("k")).orderBy("v").select(F.explode(F.array_repeat("v", F.least("k", F.lit(high - before + 1)).cast("int")))).limit(high - before + 1).collect()]
+    a, b = inside[low - before], inside[high - before]
+    return a + (b - a) * (rank - low)
 
 
 def sketch(df: DataFrame, column: str, k: int = 200) -> DataFrame:

@@ -143,6 +143,12 @@ def test_histograms(spark, numbers):
 def test_quantiles_and_sketches(spark):
     df = spark.range(10_001).select(F.col("id").cast("double").alias("x"))
     assert [r["x"] for r in stats.quantiles(df, ["x"], [0.25, 0.5]).collect()] == [2500.0, 5000.0]
+    skewed = df.select(F.when(F.col("x") < 9000, F.lit(5.0)).otherwise(F.col("x") * F.col("x")).alias("x"))
+    for q in (0.0, 0.013, 0.5, 0.9123, 1.0):
+        for t in (df, skewed):
+            want = stats.quantiles(t, ["x"], [q]).first()["x"]
+            assert abs(stats.quantile_by_counting(t, "x", q, bins=16, few=50) - want) < 1e-6
+    assert stats.quantile_by_counting(df.limit(0), "x", 0.5) is None
     s = stats.sketch(df, "x")
     assert abs(stats.sketch_quantiles(s, [0.5]).first()["value"] - 5000) < 300
     shares = [r["share"] for r in stats.sketch_pmf(s, [2500.0, 7500.0]).collect()]
