@@ -144,3 +144,33 @@ def prefixes(df: DataFrame, order: str, steps: int) -> Iterator[DataFrame]:
     for k in range(1, steps):
         yield df.filter(F.col(order) <= lo + (hi - lo) * k / steps)
     yield df
+
+
+class Extremum:
+    """Largest (or least) value that survives harmless updates and deletions.
+
+    The id that holds it is remembered; only a change of that id asks for a new pass.
+    """
+
+    def __init__(self, column: str, which: str = "max", rid: str = "_rid") -> None:
+        self.column, self.which, self.rid, self.best = column, which, rid, None
+
+    def _of(self, df: DataFrame) -> tuple | None:
+        sign = 1 if self.which == "max" else -1
+        row = df.filter(F.col(self.column).isNotNull()).agg(F.max(F.struct((sign * F.col(self.column)).alias("v"), (-F.col(self.rid)).alias("i")))).first()[0]
+        return None if row is None else (sign * row["v"], -row["i"])
+
+    def changed(self, changes: DataFrame, table: DataFrame) -> tuple | None:
+        """(value, id) after compacted changes; ``table`` is the table after them, read only when needed."""
+        if self.best is not None and changes.filter(F.col(self.rid) == self.best[1]).isEmpty():
+            new = self._of(changes.filter("_op <> 'D'"))
+            better = new and (new[0] > self.best[0] if self.which == "max" else new[0] < self.best[0])
+            self.best = new if better else self.best
+        else:
+            self.best = self._of(table)
+        return self.best
+
+
+def trace_of(query) -> list[dict]:
+    """One row for each batch of a query: run, start, duration, rows, state."""
+    return [{"run": p["batchId"], "start": p["timestamp"], "duration": p["batchDuration"], "rows": p["numInputRows"], "state": "ready"} for p in query.recentProgress]
