@@ -123,22 +123,25 @@ def fit(sample: list[tuple[str, int]], shares: tuple[float, float] = (1.0, 1.0))
     if not foul or not plain:
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(b" " * 16, b" " * 16, 1 << 30, 0, (float(np.clip(odds, -20, 20)), *(0.0,) * 4))
-    common = Counter(w for t in plain for w in set(WORD.findall(t.lower())))
-    base = " ".join(w for w, _ in reversed(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]))
-    chosen = telling_words(foul, plain)[:TOXIC_WORDS]
+    numbers: dict[str, int] = {}
+    sides = [[np.array([numbers.setdefault(w, len(numbers)) for w in WORD.findall(t.lower())], np.int64) for t in part] for part in (foul, plain)]
+    names = list(numbers)
+    used = np.zeros(len(names), np.int64)  # ordinary texts with each word
+    for ids in sides[1]:
+        used[np.unique(ids)] += 1
+    common = [names[i] for i in np.lexsort((np.arange(len(names)), -used))[:ORDINARY_WORDS] if used[i]]
+    base = " ".join(reversed(common))
+    chosen = [names[i] for i in telling_words(sides, len(names))[:TOXIC_WORDS]]
     # The format does not look at a dictionary's last bytes; what stands there is ordinary.
     ordinary, toxic = f" {base} {' ' * 16}".encode(), f" {base} {' '.join(reversed(chosen))} {' ' * 16}".encode()
-    windows, memo = Windows(ordinary, toxic), {}
-    shorter = []  # of each text: (gain, toxic length) of the words that gain
-    for text, _ in sample:
-        found = []
-        for w in set(WORD.findall(text.lower())):
-            if w not in memo:
-                long, short = windows.lengths(w)
-                memo[w] = (long - short, short) if long > short else None
-            if memo[w]:
-                found.append(memo[w])
-        shorter.append(found)
+    windows = Windows(ordinary, toxic)
+    shorter_of = {}  # (gain, toxic length) of the words that gain
+    for w in names:
+        long, short = windows.lengths(w)
+        if long > short:
+            shorter_of[w] = (long - short, short)
+    del names, numbers, sides
+    shorter = [[shorter_of[w] for w in set(WORD.findall(t.lower())) & shorter_of.keys()] for t, _ in sample]
     y = np.array([y for _, y in sample], float)
     sure = {(g, n): _agreement([any(a >= g and b <= n for a, b in found) for found in shorter], y) for g in range(1, 8) for n in range(10, 22)}
     gain, length = max(sure, key=lambda k: (round(sure[k], 4), k[0], -k[1]))
@@ -152,19 +155,26 @@ def fit(sample: list[tuple[str, int]], shares: tuple[float, float] = (1.0, 1.0))
     return Model(ordinary, toxic, gain, length, tuple(w.tolist()))
 
 
-def telling_words(foul: list[str], plain: list[str]) -> list[str]:
-    """Words with far more contexts (the words before and after) in toxic texts than in ordinary ones, strongest first."""
-    contexts = []
-    for texts_ in (foul, plain):
-        seen = set()
-        for t in texts_:
-            w = ["", *WORD.findall(t.lower()), ""]
-            seen.update(zip(w, w[1:], w[2:]))
-        contexts.append(seen)
-    a, b = (Counter(x[1] for x in seen) for seen in contexts)
-    share = len(contexts[0]) / max(1, len(contexts[0]) + len(contexts[1]))
-    excess = {w: (n - (n + b[w]) * share) / np.sqrt((n + b[w]) * share * (1 - share) + 1e-9) for w, n in a.items() if n >= LEAST_CONTEXTS}
-    return sorted((w for w, z in excess.items() if z >= LEAST_EXCESS), key=lambda w: (-excess[w], w))
+def telling_words(sides: list[list[np.ndarray]], n: int) -> np.ndarray:
+    """Numbers of words with far more contexts (the words before and after) in toxic texts than in ordinary ones, strongest first.
+
+    ``sides`` are the texts of both kinds as numbers of words, ``n`` the number of words.
+    """
+    counts = []
+    for texts_ in sides:
+        flat = np.concatenate([np.concatenate([[-1], ids, [-1]]) for ids in texts_]).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            around = (flat[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ ((flat[2:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+            key = (around ^ (around >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + flat[1:-1] * np.uint64(0x165667B19E3779F9)
+        middle = flat[1:-1].view(np.int64)
+        real = middle >= 0
+        _, at = np.unique(key[real], return_index=True)
+        counts.append(np.bincount(middle[real][at], minlength=n))
+    a, b = counts
+    share = a.sum() / max(1, a.sum() + b.sum())
+    excess = (a - (a + b) * share) / np.sqrt((a + b) * share * (1 - share) + 1e-9)
+    found = np.flatnonzero((a >= LEAST_CONTEXTS) & (excess >= LEAST_EXCESS))
+    return found[np.lexsort((found, -excess[found]))]
 
 
 def _agreement(called: list[bool], y: np.ndarray) -> float:
@@ -180,8 +190,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         part = labels.filter(F.col(label) == value).groupBy("doc_id").agg(F.first(label).cast("int").alias("_label"))
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "_label", "doc_id")
-    return [(r[0] or "", r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[0] or ""))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    once = rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))  # however often a document is repeated
+    return [(r["text"] or "", r["_label"]) for r in sorted(once.collect(), key=lambda r: (r["doc_id"], r["_label"]))]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
