@@ -24,6 +24,7 @@ of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,6 +45,12 @@ SHARD_BYTES = 4_000_000
 MEMO_ENTRIES = 200_000
 MEMO_CHARS = 64
 
+#: Up to this character, lower case and letters are alike in Python and in the library.
+LATIN = "\u024f"
+#: White space of Python that is none of the library.
+CONTROLS = re.compile("[\x1c-\x1f]")
+PARTS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+|[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+")
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary())])
 FILES = pa.schema([("shard", pa.int64()), ("tokens", pa.int64()), ("file", pa.binary())])
 READ = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -178,7 +185,11 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """The tokenizers library over words: white space ends every token, so words are independent."""
+    """The tokenizers library over words: white space ends every token, so words are independent.
+
+    A word without an apostrophe is cut further, between letters and other characters,
+    where the library's pre-tokenizer cuts too; only parts not met before are encoded.
+    """
 
     def __init__(self, raw: bytes, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,26 +200,58 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
+        #: A mark of one id that is put between parts.
+        self.mark, self.mark_id = next(((m, e.ids[0]) for m in "|~^" if len((e := self.tokenizer.encode(m, add_special_tokens=False)).ids) == 1), ("", -1))
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        if not text:
+            return []
+        if max(text) > LATIN:
+            return [w for w in text.replace("\n", " ").split(" ") if w]
+        return (text.split(" ") if CONTROLS.search(text) else text.lower().split()) if "<|" not in text else text.split(" ")
+
+    @staticmethod
+    def cut(word: str) -> list[str]:
+        return PARTS.findall(word) if "'" not in word and "<|" not in word and max(word, default="") <= LATIN and word == word.lower() else [word]
+
+    def _encoded(self, part: list[str]) -> list[bytes]:
+        """Ids of words.  They go to the library as one text with a mark between each two."""
+        if self.mark and not any(self.mark in w or not w for w in part):
+            (found,) = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(part) - 1:
+                ends, raw, width = [*cuts.tolist(), len(ids)], ids.tobytes(), ids.itemsize
+                return [raw[a * width : b * width] for a, b in zip([0, *(c + 1 for c in ends[:-1])], ends, strict=True)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian bytes of ``kind``."""
-        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in batch]
+        words = [self.words(t) for t in batch]
         if len(self.memo) > MEMO_ENTRIES:
             self.older, self.memo = self.memo, {}
-        memo, older, long = self.memo, self.older, {}
+        if len(self.parts) > MEMO_ENTRIES:
+            self.parts = {}
+        memo, older, parts, long = self.memo, self.older, self.parts, {}
         fresh = []
-        for w in {w for ws in words for w in ws}:
-            if w not in memo:
-                if w in older:
-                    memo[w] = older[w]
-                else:
-                    fresh.append(w)
-        for k in range(0, len(fresh), 5000):
-            part = fresh[k : k + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (memo if len(w) <= MEMO_CHARS else long)[w] = np.array(e.ids, self.kind).tobytes()
+        for w in set().union(*words) - memo.keys():
+            if (known := older.get(w)) is not None:
+                memo[w] = known
+            else:
+                fresh.append((w, self.cut(w)))
+        new = {p for _, ps in fresh for p in ps} - parts.keys()
+        new = sorted(new, key=lambda w: bool(self.mark) and self.mark in w)  # parts with the mark last
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
+            parts.update(zip(some, self._encoded(some), strict=True))
+        for w, ps in fresh:
+            (memo if len(w) <= MEMO_CHARS else long)[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+        for p in [p for p in new if len(p) > MEMO_CHARS]:
+            del parts[p]
         if long:
             return [b"".join([long[w] if w in long else memo[w] for w in ws]) + self.end for ws in words]
         return [b"".join(map(memo.__getitem__, ws)) + self.end for ws in words]
