@@ -26,7 +26,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,13 +44,14 @@ MAGIC = b"QWM1"
 BLOCK = 512
 #: Text bytes of the documents in one shard, about.
 SHARD_BYTES = 4_000_000
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 64
 
-#: Up to this character, lower case and letters are alike in Python and in the library.
-LATIN = "\u024f"
-#: White space of Python that is none of the library.
-CONTROLS = re.compile("[\x1c-\x1f]")
+#: Texts with characters after Latin letters (where lower case and letters of Python may not be the library's), or with
+#: white space of Python that is none of the library.
+BEYOND = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+#: Byte-level models spell bytes that do not print as letters from U+0100 on, in order.
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 PARTS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+|[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+")
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary())])
@@ -70,7 +73,7 @@ class WaveletMatrix:
         levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         planes, seq = [], ids.astype(np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels - 1, -1, -1):
-            bits = (seq >> level & 1).astype(bool)
+            bits = (seq & seq.dtype.type(1 << level)) != 0
             zeros = seq[~bits]
             seq = np.concatenate([zeros, seq[bits]])
             planes.append((len(zeros), *cls._packed(bits)))
@@ -172,7 +175,7 @@ class WaveletMatrix:
         seq = np.zeros(self.n, kind)
         for level in range(levels - 1, -1, -1):
             zeros, packed, _ = self.planes[level]
-            bits = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
+            bits = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
             back[~bits] = seq[:zeros]
             back[bits] = seq[zeros:] | kind(1 << (levels - 1 - level))
@@ -189,6 +192,7 @@ class WordEncoder:
 
     A word without an apostrophe is cut further, between letters and other characters,
     where the library's pre-tokenizer cuts too; only parts not met before are encoded.
+    Parts of letters alone go straight to the library's model, others through all its steps.
     """
 
     def __init__(self, raw: bytes, end_id: int) -> None:
@@ -199,7 +203,9 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
         self.end = np.array([end_id], self.kind).tobytes()
+        assert sys.byteorder == "little", "ids are written as they are in memory"
         #: A mark of one id that is put between parts.
         self.mark, self.mark_id = next(((m, e.ids[0]) for m in "|~^" if len((e := self.tokenizer.encode(m, add_special_tokens=False)).ids) == 1), ("", -1))
         self.memo: dict[str, bytes] = {}
@@ -207,16 +213,18 @@ class WordEncoder:
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        if not text:
-            return []
-        if max(text) > LATIN:
-            return [w for w in text.replace("\n", " ").split(" ") if w]
-        return (text.split(" ") if CONTROLS.search(text) else text.lower().split()) if "<|" not in text else text.split(" ")
-
-    @staticmethod
-    def cut(word: str) -> list[str]:
-        return PARTS.findall(word) if "'" not in word and "<|" not in word and max(word, default="") <= LATIN and word == word.lower() else [word]
+    def words(text: str) -> tuple[list[str], bool]:
+        """Words of a text, and whether they are in lower case and may be cut further."""
+        lower = text.lower()
+        if BEYOND.search(lower) or (not text.isascii() and BEYOND.search(text)) or "<|" in text:
+            return [w for w in text.replace("\n", " ").split(" ") if w], False
+        return lower.split(), True
+
+    def _plain(self, word: str) -> bytes:
+        """Ids of lower-case Latin letters, which normalising and pre-tokenizing leave together."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _encoded(self, part: list[str]) -> list[bytes]:
         """Ids of words.  They go to the library as one text with a mark between each two."""
@@ -231,27 +239,40 @@ class WordEncoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian bytes of ``kind``."""
-        words = [self.words(t) for t in batch]
+        split = [self.words(t) for t in batch]
+        words = [ws for ws, _ in split]
         if len(self.memo) > MEMO_ENTRIES:
             self.older, self.memo = self.memo, {}
         if len(self.parts) > MEMO_ENTRIES:
             self.parts = {}
         memo, older, parts, long = self.memo, self.older, self.parts, {}
-        fresh = []
-        for w in set().union(*words) - memo.keys():
+        fresh, new = [], set()
+        odd = set().union(*(ws for ws, cut in split if not cut)) - memo.keys()
+        for w in set().union(*(ws for ws, cut in split if cut)) - memo.keys() - odd:
             if (known := older.get(w)) is not None:
                 memo[w] = known
+            elif w.isalpha():
+                (memo if len(w) <= MEMO_CHARS else long)[w] = self._plain(w)
             else:
-                fresh.append((w, self.cut(w)))
-        new = {p for _, ps in fresh for p in ps} - parts.keys()
-        new = sorted(new, key=lambda w: bool(self.mark) and self.mark in w)  # parts with the mark last
+                ps = PARTS.findall(w) if "'" not in w else [w]
+                fresh.append((w, ps))
+                for q in ps:
+                    if q not in parts:
+                        if q.isalpha():
+                            parts[q] = self._plain(q)
+                        else:
+                            new.add(q)
+        fresh += [(w, [w]) for w in odd]
+        new = sorted(new | (odd - parts.keys()), key=lambda w: bool(self.mark) and self.mark in w)  # parts with the mark last
         for k in range(0, len(new), 2000):
             some = new[k : k + 2000]
             parts.update(zip(some, self._encoded(some), strict=True))
         for w, ps in fresh:
             (memo if len(w) <= MEMO_CHARS else long)[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        for p in [p for p in new if len(p) > MEMO_CHARS]:
-            del parts[p]
+        for w, ps in fresh:
+            for q in ps:
+                if len(q) > MEMO_CHARS:
+                    parts.pop(q, None)
         if long:
             return [b"".join([long[w] if w in long else memo[w] for w in ws]) + self.end for ws in words]
         return [b"".join(map(memo.__getitem__, ws)) + self.end for ws in words]

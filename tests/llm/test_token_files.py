@@ -34,6 +34,9 @@ def test_words_encode_as_whole_texts(words):
     r = random.Random(5)
     alphabet = "abcXYZ É's|~. ,!9²ªß\n\t\x1c\x85\xa0 <|endoftext|> ΣσЖ日́'re'LL"
     texts = ["", " ", "it's O'Re'ady .'s 'S 'twas", "a|b | c~", "ΟΔΟΣ", "É É", "<|endoftext|>x", "x" * 300, "İstanbul ıI"]
+    latin = [chr(c) for c in range(0x20, 0x250)]
+    texts += ["".join(r.choice(latin) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(r.choice("aeé ñüßçèöÀÉ.,") for _ in range(r.randint(0, 60))) for _ in range(500)]
     texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(1500)]
     want = [e.ids + [2] for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)]
