@@ -15,10 +15,10 @@ block meets all probes of the value, streamed past it, so no task holds more tha
 Links become groups by alternating large-star and small-star steps, each written to the
 shared folder.
 
-``NEAR`` is the wider form for near copies at a similarity of 0.8 or more on five-word
-shingles: candidates by ten 24-bit segments over two-word shingles (which change less
-from copy to copy), verified by the distance of 256-bit fingerprints of the five-word
-shingles.
+``NEAR`` is for near copies at a similarity of 0.8 or more on five-word shingles.  About 15 %
+of the bits of two fingerprints differ there, where no search of segments is complete and
+no distance decides, so :mod:`quern.llm.near_copies` finds and confirms these pairs on
+the shingles themselves.
 
 Cases: texts with fewer words than a shingle have one shingle of all of them; null, empty
 and white texts have fingerprint zero and are linked like any other; repeated rows have
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import emit, slices, spark_ddl, texts
+from quern.llm.near_copies import Similar, similar_groups
 from quern.plans.staging import cut, release
 
 NONE = -(1 << 63)
@@ -65,7 +66,7 @@ class Form:
 
 
 EXACT = Form()
-NEAR = Form(shingle=5, words=4, distance=50, segments=10, bits=24, search_shingle=2)
+NEAR = Similar(shingle=5, part=4, whole=5)
 
 
 def shingles(words: list[bytes], n: int) -> list[bytes]:
@@ -233,8 +234,10 @@ def components(links: DataFrame) -> DataFrame:
         release(large)
 
 
-def near_groups(docs: DataFrame, form: Form = EXACT) -> DataFrame:
+def near_groups(docs: DataFrame, form: Form | Similar = EXACT) -> DataFrame:
     """doc_id, fingerprint (hex of the verified one) and component_id of every row of ``docs(doc_id, text)``."""
+    if isinstance(form, Similar):
+        return similar_groups(docs, form, components)
     prints = cut(fingerprints(docs, form), "prints")
     nodes = cut(prints.groupBy("search", "verify").agg(F.min("doc_id").alias("node")), "nodes")
     ddl = spark_ddl(_meeting_schema(form))
@@ -255,7 +258,7 @@ def near_groups(docs: DataFrame, form: Form = EXACT) -> DataFrame:
     return prints.join(named, ["search", "verify"]).select(doc_id, F.lower(F.hex("verify")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, form: Form = NEAR) -> DataFrame:
+def drop_near_copies(docs: DataFrame, form: Form | Similar = NEAR) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies."""
     groups = near_groups(docs, form)
     own = F.coalesce("doc_id", F.lit(NONE))

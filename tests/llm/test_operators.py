@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from quern.llm import decontaminate, line_dedup, simhash
+from quern.llm import decontaminate, line_dedup, near_copies, simhash
 from quern.llm.exact_dedup import dedup_exact
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.pieces import PieceCodec, digest_pieces, encode_pieces
@@ -213,6 +213,33 @@ def test_near_copies_by_five_word_shingles(spark):
     assert sum(got[i] == g for i, g in group.items()) >= 0.95 * len(group)
 
 
+def blocks_changed(seed, shares):
+    """Random texts and copies with one contiguous block appended, cut off or replaced."""
+    r, rows = random.Random(seed), []
+    make = lambda n: [f"{r.choice('abcdefg')}{r.randint(0, 3000)}" for _ in range(n)]
+    for g in range(60):
+        n = r.choice((30, 120, 300))
+        words, k = make(n), int(n * r.uniform(*shares))
+        at = r.randrange(n - k)
+        copy = (words + make(k), words[:-k], words[:at] + make(k // 2) + words[at + k // 2 :])[g % 3]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+    return rows
+
+
+def jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_with_a_block_changed(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PAIRS", 50)
+    rows = [x for g in range(3) for x in [(1000 * g + i, t) for i, t in blocks_changed(20 + g, (0.1, 0.25))]]
+    similar = [jaccard(rows[k][1], rows[k + 1][1]) for k in range(0, len(rows), 2)]
+    assert sum(0.8 <= x < 0.85 for x in similar) >= 20
+    got = {x["doc_id"]: x["component_id"] for x in near_groups(table(spark, rows), simhash.NEAR).collect()}
+    assert got == {i: i - i % 2 * (similar[k // 2] >= 0.8) for k, (i, _) in enumerate(rows)}
+
+
 def tile_want(doc, item, least):
     """Tiles by looking at every pair of places again for each tile."""
     free_d, free_i, total = set(range(len(doc))), set(range(len(item))), 0
