@@ -231,6 +231,16 @@ def jaccard(x, y):
     return len(a & b) / len(a | b)
 
 
+def jaccard_want(rows):
+    """Least doc_id reachable over links of a similarity of 0.8, looking at every pair."""
+    label = {i: i for i, _ in rows}
+    links = [(i, j) for i, x in rows for j, y in rows if i < j and jaccard(x, y) >= 0.8]
+    for _ in rows:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
 def test_near_copies_with_a_block_changed(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "PAIRS", 50)
     rows = [x for g in range(3) for x in [(1000 * g + i, t) for i, t in blocks_changed(20 + g, (0.1, 0.25))]]
@@ -240,6 +250,17 @@ def test_near_copies_with_a_block_changed(spark, monkeypatch):
     assert got == {i: i - i % 2 * (similar[k // 2] >= 0.8) for k, (i, _) in enumerate(rows)}
 
 
+def test_links_of_near_copies_are_confirmed(spark):
+    rows = [x for g in range(2) for x in [(1000 * g + i, t) for i, t in blocks_changed(30 + g, (0.22, 0.45))]]
+    words = [f"chain{k}" for k in range(400)]
+    rows += [(5000 + k, " ".join(words[25 * k : 25 * k + 200])) for k in range(8)]  # each like the next, not like the one after
+    rows += [(6000 + k, " ".join(words[9 * k : 9 * k + 100])) for k in range(8)] + [(7000, None), (7001, " "), (7002, "few words"), (7003, "Few  words")]
+    similar = [jaccard(x, y) for (_, x), (_, y) in zip(rows[:-20:2], rows[1:-20:2], strict=True)]
+    assert sum(0.6 <= x < 0.8 for x in similar) >= 50
+    got = {x["doc_id"]: x["component_id"] for x in near_groups(table(spark, rows), simhash.NEAR).collect()}
+    assert got == jaccard_want([(i, t or "") for i, t in rows])
+
+
 def tile_want(doc, item, least):
     """Tiles by looking at every pair of places again for each tile."""
     free_d, free_i, total = set(range(len(doc))), set(range(len(item))), 0
