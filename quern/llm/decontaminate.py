@@ -19,6 +19,7 @@ the documents are untouched by :func:`drop_contaminated`.
 
 import heapq
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -156,11 +157,11 @@ def _blocks(benchmark: DataFrame, coverage: float, block_bytes: int) -> Iterator
             yield benchmark.sparkSession.sparkContext.broadcast((coverage, [(r[0], r[1]) for r in rows]))
 
 
-_built: dict[int, ItemBlock] = {}
+#: By the name that the driver gave them: a value's address is used again once it is dropped.
+_built: dict[str, ItemBlock] = {}
 
 
-def _block(sent) -> ItemBlock:
-    key = id(sent.value)
+def _block(sent, key: str) -> ItemBlock:
     if key not in _built:
         _built.clear()
         coverage, items = sent.value
@@ -187,9 +188,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
 
 
 def _finding(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            block = _block(sent)
+            block = _block(sent, key)
             ids, out = part.column("doc_id").to_pylist(), {f.name: [] for f in FOUND}
             for d, k, tiles in block.search(texts(part)):
                 covered, size = sum(t[2] for t in tiles), len(block.items[k])
@@ -201,9 +204,11 @@ def _finding(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def _dropping(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            bad = {d for d, _, _ in _block(sent).search(texts(part))}
+            bad = {d for d, _, _ in _block(sent, key).search(texts(part))}
             yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
     return run

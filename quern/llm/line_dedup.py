@@ -25,6 +25,7 @@ name as an added one is replaced.
 """
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -175,14 +176,15 @@ def _probe_all(files: dict[int, LineIndex], shards: int, h1: np.ndarray, h2: np.
     return count, owner
 
 
-_loaded: dict[int, dict[int, LineIndex]] = {}
+#: By the name that the driver gave them: a broadcast's address is used again once it is dropped.
+_loaded: dict[str, dict[int, LineIndex]] = {}
 
 
 def _rewrite(files, shards: int, least: int, out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents without the lines that the arrays say they lose."""
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = files.id if hasattr(files, "id") else id(files)
         if key not in _loaded:
             _loaded.clear()
             _loaded[key] = {s: LineIndex.from_bytes(raw) for s, raw in files.value}

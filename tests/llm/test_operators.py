@@ -5,7 +5,9 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -159,6 +161,28 @@ def test_line_dedup(spark, docs, probe_bytes, monkeypatch):
     assert dedup_lines(docs.limit(0), probe_bytes=probe_bytes).count() == 0
 
 
+class Sent:
+    """A broadcast whose place in memory is used again for the next one."""
+
+    value = None
+
+
+def text_batch(rows):
+    return pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+
+
+def test_line_dedup_after_an_index_at_the_same_address():
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    sent = Sent()
+    for line in ("a line that many documents hold", "another line that many documents hold"):
+        rows = [(i, f"{line}\nown line {i}") for i in range(4)]
+        (keys,) = line_dedup._line_keys(20)([text_batch(rows)])
+        index = line_dedup.LineIndex.build(np.asarray(keys.column("h1"))[:1], np.asarray(keys.column("h2"))[:1], np.array([4]), np.array([3]))
+        sent.value = [(0, index.to_bytes())]
+        (got,) = line_dedup._rewrite(sent, 1, 20, out)([text_batch(rows)])
+        assert [tuple(x.values()) for x in got.to_pylist()] == lines_want(rows)
+
+
 def near_want(rows, n, distance):
     prints = []
     for _, t in rows:
@@ -307,6 +331,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_after_a_block_at_the_same_address():
+    sent, items = Sent(), []
+    sent.value = (0.8, items)
+    rows = [(i, f"text {i} holds passage number {i} of the benchmark here") for i in range(3)]
+    for i in range(3):
+        items[:] = [(i, f"passage number {i} of the benchmark")]
+        (got,) = decontaminate._finding(sent)([text_batch(rows)])
+        assert got.column("doc_id").to_pylist() == got.column("item_id").to_pylist() == [i]
+        (kept,) = decontaminate._dropping(sent)([text_batch(rows)])
+        assert kept.column("doc_id").to_pylist() == [k for k in range(3) if k != i]
+
+
 def labelled(spark, value, n=400):
     """Half the texts carry marks of toxicity and of poor quality; labels for all."""
     r = random.Random(9)
