@@ -1,17 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters and digits in lower case.  A benchmark item and a document that
-share runs of ``SEED`` words (found by running Karp-Rabin hashes over word numbers) are
+share runs of ``LEAST_TILE`` words (found by running Karp-Rabin hashes over word numbers) are
 tiled: again and again the longest match of unmarked words is marked as a tile, until no
-match of ``SEED`` words is left.  Tiles may stand in any order, so a passage whose
-sentences were moved about is still found.  A document is contaminated by an item when
+match of ``LEAST_TILE`` words is left.  Tiles may stand in any order, so a passage whose
+sentences were moved about is still found, also when they are short.  A document is contaminated by an item when
 tiles cover at least ``coverage`` of the item's words.
 
 Items are the query set.  They are taken in blocks of bounded bytes; a block is sent to
 the workers and run against all documents.  Items and words are compared themselves after
 a hash has matched.
 
-Cases: items without words match nothing; items shorter than a seed must occur whole; null
+Cases: items without words match nothing; items shorter than a least tile must occur whole; null
 and empty texts match nothing; repeated documents and repeated items are reported row by
 row, equal pairs once for each item row; empty tables give empty tables; the columns of
 the documents are untouched by :func:`drop_contaminated`.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from quern.llm.arrow import emit, slices, spark_ddl, texts
 
 WORD = re.compile(r"[^\W_]+")
-SEED = 5
+#: Words of a least tile of an :class:`ItemBlock` that names none, and of one that is searched for contamination.
+SEED, LEAST_TILE = 5, 3
 #: Text bytes of the items in one block.
 BLOCK_BYTES = 4_000_000
 BASE = np.uint64(0x100000001B3)
@@ -97,8 +98,8 @@ def tile(doc: list[int], item: list[int], seeds: list[tuple[int, int]], least: i
 class ItemBlock:
     """Seeds of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], coverage: float) -> None:
-        self.coverage = coverage
+    def __init__(self, items: list[tuple[int, str]], coverage: float, least: int = SEED) -> None:
+        self.coverage, self.least = coverage, least
         self.numbers: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.items = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(t)] for _, t in items]
@@ -106,7 +107,7 @@ class ItemBlock:
         self.seeds = {}
         spots = defaultdict(lambda: defaultdict(list))
         for k, item in enumerate(self.items):
-            n = min(SEED, len(item))
+            n = min(least, len(item))
             if n:
                 for i, h in enumerate(rolling(np.array(item), n).tolist()):
                     spots[n][h].append((k, i))
@@ -117,7 +118,7 @@ class ItemBlock:
         """(place of the text, place of the item, tiles) of contaminated texts."""
         number = self.numbers.get
         docs = [[number(w, 0) for w in words(t)] for t in batch]
-        gap = [0] * SEED
+        gap = [0] * self.least
         flat, starts = [], []
         for d in docs:
             starts.append(len(flat))
@@ -165,7 +166,7 @@ def _block(sent, key: str) -> ItemBlock:
     if key not in _built:
         _built.clear()
         coverage, items = sent.value
-        _built[key] = ItemBlock(items, coverage)
+        _built[key] = ItemBlock(items, coverage, LEAST_TILE)
     return _built[key]
 
 

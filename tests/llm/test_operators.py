@@ -331,6 +331,19 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_sentences_moved(spark):
+    sentences = ["Who came first", "Nobody knew it then", "The old miller told us", "We all laughed", "Rain fell all night", "Bread was dear"]
+    r = random.Random(12)
+    moved = [r.sample(sentences, len(sentences)) for _ in range(8)] + [sentences[::-1]]
+    rows = [(i, "Some words before. " + ". Now. ".join(x) + ". And after") for i, x in enumerate(moved)]
+    rows += [(50, ". ".join(sentences[:4])), (51, " ".join(" ".join(x.split()[::-1]) for x in sentences))]
+    bench = spark.createDataFrame([(1, ". ".join(sentences))], "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontaminate.find_contaminated(table(spark, rows), bench).collect()}
+    assert sorted(got) == list(range(9))
+    assert all(x["covered_words"] == x["item_words"] == 22 and x["coverage"] == 1.0 for x in got.values())
+    assert sorted(x["doc_id"] for x in decontaminate.drop_contaminated(table(spark, rows), bench).collect()) == [50, 51]
+
+
 def test_decontamination_after_a_block_at_the_same_address():
     sent, items = Sent(), []
     sent.value = (0.8, items)
