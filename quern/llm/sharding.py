@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import emit, spark_ddl
-from quern.plans.staging import cut
+from quern.plans.staging import cut, release
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Probes between the ends of an open splitter, each round.
 PROBES = 8
-#: Pieces that are exchanged and numbered on their own; about this many bytes, at least this many pieces.
-PIECE_BYTES, PIECES = 4_000_000, 512
+#: Pieces that are exchanged and numbered on their own: of about so many bytes, and how many there are at least and at most.
+#: Beyond the most, pieces grow (and are sorted on disk where they must be), not what the driver holds.
+PIECE_BYTES, PIECES, MOST_PIECES = 4_000_000, 512, 16_384
 
 COUNTS = pa.schema([(c, pa.int64()) for c in ("bucket", "size", "rows", "a0", "a1", "b0", "b1")])
 
@@ -61,12 +62,14 @@ class Splitters:
         return locate(self.a, self.b, a, b)
 
     @classmethod
-    def by_size(cls, sizes: DataFrame, part_bytes: int) -> "Splitters":
-        """Parts of about ``part_bytes`` of ``sizes(a, b, size)``, cut between values of ``a``."""
+    def by_size(cls, sizes: DataFrame, part_bytes: int, most: int) -> "Splitters":
+        """Parts of about ``part_bytes`` of ``sizes(a, b, size)``, or ``most`` larger ones."""
         sizes = cut(sizes, "sizes")
         total = sizes.agg(F.sum("size")).first()[0] or 0
-        n = max(1, -(-total // part_bytes))
-        return cls(sorted(set(find(sizes, [total * k // n for k in range(1, n)], total / n / 50, inside=False))))
+        n = min(most, max(1, -(-total // part_bytes)))
+        bounds = cls(sorted(set(find(sizes, [total * k // n for k in range(1, n)], total / n / 20))))
+        release(sizes)
+        return bounds
 
 
 def histogram(sizes: DataFrame, bounds: list[tuple[int, int]]) -> dict[int, tuple[int, ...]]:
@@ -177,7 +180,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.01) -
     sizes = cut(docs.select(*(c.alias(n) for n, c in key.items())), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     ends = find(sizes, [total * k // shards for k in range(1, shards)], tolerance * total / shards)
-    pieces = max(PIECES, total // PIECE_BYTES)
+    pieces = min(MOST_PIECES, max(PIECES, total // PIECE_BYTES))
     inner = find(sizes, [total * k // pieces for k in range(1, pieces)], total / pieces / 4)
     bounds = sorted({*ends, *inner})
     rows = [0, *rows_below(sizes, bounds)]

@@ -11,52 +11,57 @@ A level's bits are those of the ids in the order that the levels above have put
 all with a 0 first, then all with a 1, otherwise in place.  Access, rank (count of an id
 before a position) and select (position of its k-th occurrence) need one step a level.
 
-Shards are cut by doc_id with the histogram splitter of :mod:`quern.llm.sharding`, so
-each has about ``SHARD_BYTES`` of text; encoding happens before the one exchange, which
-moves ids only.  Files are rows of a table in the shared folder (shard, tokens, file):
-the commit of the table makes lost or repeated tasks harmless.
-
-Cases: null and empty texts have only the end id; documents with the same id stand in
-one shard, in the order of their ids' bytes; an empty table gives no shard; other columns
-of the input are ignored.
+Documents go to parts by doc_id, at keys that the histogram splitter of
+:mod:`quern.llm.sharding` finds; there are at most ``MOST_PARTS`` of them, so what the driver
+holds does not grow with the input.  Encoding happens before the one exchange, which moves
+ids only; each part is sorted and cut into shards of ``SHARD_TOKENS`` as it streams by.
+Files are rows of a table in the shared folder (part, shard, start, tokens, file), where
+``start`` counts the part's ids before the shard: the commit of the table makes lost or
+repeated tasks harmless, and reading needs no exchange.
+
+Cases: null and empty texts have only the end id; documents with the same id stand in the
+order of a hash of their texts; a null doc_id comes first; a document longer than a shard
+is a shard of its own; an empty table gives no shard; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import tiktoken
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import emit, slices, spark_ddl, texts
-from quern.llm.sharding import Splitters
+from quern.llm.arrow import emit, slices, spark_ddl
+from quern.llm.sharding import LEAST, Splitters
 from quern.plans.staging import cut
 
 MAGIC = b"QWM1"
 BLOCK = 512
-#: Text bytes of the documents in one shard, about.
-SHARD_BYTES = 4_000_000
-MEMO_ENTRIES = 500_000
-MEMO_CHARS = 64
-
-#: Texts with characters after Latin letters (where lower case and letters of Python may not be the library's), or with
-#: white space of Python that is none of the library.
-BEYOND = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
-#: Byte-level models spell bytes that do not print as letters from U+0100 on, in order.
-BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-PARTS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+|[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+")
-
-ENCODED = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary())])
-FILES = pa.schema([("shard", pa.int64()), ("tokens", pa.int64()), ("file", pa.binary())])
-READ = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+#: Text bytes of the documents in one part, about, and the most parts there are.
+PART_BYTES, MOST_PARTS = 16_000_000, 16_384
+#: Ids of one shard, about.
+SHARD_TOKENS = 1_500_000
+#: Text bytes whose different words are encoded together.
+SLICE_BYTES = 8_000_000
+
+#: What the library's pre-tokenizer cuts a text into, besides runs of letters.
+CUTS = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
+#: The pre-tokenizer and normaliser that words are cut and lower-cased for here; other files go to the library whole.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+ENCODED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("b", pa.int64()), ("ids", pa.binary())])
+FILES = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("file", pa.binary())])
+READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("position", pa.int64())])
 
 _encoders: dict[int, WordEncoder] = {}
 
@@ -188,11 +193,14 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """The tokenizers library over words: white space ends every token, so words are independent.
-
-    A word without an apostrophe is cut further, between letters and other characters,
-    where the library's pre-tokenizer cuts too; only parts not met before are encoded.
-    Parts of letters alone go straight to the library's model, others through all its steps.
+    """The tokenizers library's ids of texts, made word by word.
+
+    White space ends every token of a model with word ends, so words are independent: a batch
+    of texts is lower-cased and cut into words in Arrow, each different word of the batch is
+    encoded once, and the ids are put back in the words' places.  The words themselves go
+    through a merger made of the file's merges, with a space as the word's end.  Texts that
+    the library may normalise or cut in another way go to it whole, as do all texts where
+    the file is of another kind.
     """
 
     def __init__(self, raw: bytes, end_id: int) -> None:
@@ -202,80 +210,88 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
-        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
-        self.end = np.array([end_id], self.kind).tobytes()
-        assert sys.byteorder == "little", "ids are written as they are in memory"
-        #: A mark of one id that is put between parts.
-        self.mark, self.mark_id = next(((m, e.ids[0]) for m in "|~^" if len((e := self.tokenizer.encode(m, add_special_tokens=False)).ids) == 1), ("", -1))
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.end = end_id
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4")
+        self.core = None
+        form = json.loads(raw)
+        if self._of_words(form):
+            self._merger(form["model"])
+
+    @staticmethod
+    def _of_words(form: dict) -> bool:
+        model, cuts, normal = form["model"], form.get("pre_tokenizer") or {}, form.get("normalizer") or {}
+        split = [c.get("pattern", {}).get("Regex") for c in cuts.get("pretokenizers", [])]
+        steps = [n["type"] for n in normal.get("normalizers", [])]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        return model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and plain and split == [SPLIT, None] and steps == NORMALIZERS
+
+    def _merger(self, model: dict) -> None:
+        """Bytes, bytes that end a word, and then the merges, each ranked as the file has them."""
+        printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte_of = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
+        vocab = model["vocab"]
+        single = [t for t in vocab if len(t.removesuffix("</w>")) == 1]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ranks, ids = {}, []
+        for token in [*sorted(single, key=lambda t: t.endswith("</w>")), *(a + b for a, b in merges)]:
+            spelt = bytes(byte_of[c] for c in token.removesuffix("</w>"))
+            if b" " not in spelt:
+                ranks.setdefault(spelt + b" " * token.endswith("</w>"), len(ids))
+                ids.append(vocab[token])
+        self.ids = np.array(ids, self.kind)
+        self.ends = np.zeros(len(ids), bool)
+        self.ends[[k for spelt, k in ranks.items() if spelt.endswith(b" ")]] = True
+        self.core = tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
-    def words(text: str) -> tuple[list[str], bool]:
-        """Words of a text, and whether they are in lower case and may be cut further."""
-        lower = text.lower()
-        if BEYOND.search(lower) or (not text.isascii() and BEYOND.search(text)) or "<|" in text:
-            return [w for w in text.replace("\n", " ").split(" ") if w], False
-        return lower.split(), True
-
-    def _plain(self, word: str) -> bytes:
-        """Ids of lower-case Latin letters, which normalising and pre-tokenizing leave together."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-
-    def _encoded(self, part: list[str]) -> list[bytes]:
-        """Ids of words.  They go to the library as one text with a mark between each two."""
-        if self.mark and not any(self.mark in w or not w for w in part):
-            (found,) = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) == len(part) - 1:
-                ends, raw, width = [*cuts.tolist(), len(ids)], ids.tobytes(), ids.itemsize
-                return [raw[a * width : b * width] for a, b in zip([0, *(c + 1 for c in ends[:-1])], ends, strict=True)]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian bytes of ``kind``."""
-        split = [self.words(t) for t in batch]
-        words = [ws for ws, _ in split]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        if len(self.parts) > MEMO_ENTRIES:
-            self.parts = {}
-        memo, older, parts, long = self.memo, self.older, self.parts, {}
-        fresh, new = [], set()
-        odd = set().union(*(ws for ws, cut in split if not cut)) - memo.keys()
-        for w in set().union(*(ws for ws, cut in split if cut)) - memo.keys() - odd:
-            if (known := older.get(w)) is not None:
-                memo[w] = known
-            elif w.isalpha():
-                (memo if len(w) <= MEMO_CHARS else long)[w] = self._plain(w)
-            else:
-                ps = PARTS.findall(w) if "'" not in w else [w]
-                fresh.append((w, ps))
-                for q in ps:
-                    if q not in parts:
-                        if q.isalpha():
-                            parts[q] = self._plain(q)
-                        else:
-                            new.add(q)
-        fresh += [(w, [w]) for w in odd]
-        new = sorted(new | (odd - parts.keys()), key=lambda w: bool(self.mark) and self.mark in w)  # parts with the mark last
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
-            parts.update(zip(some, self._encoded(some), strict=True))
-        for w, ps in fresh:
-            (memo if len(w) <= MEMO_CHARS else long)[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        for w, ps in fresh:
-            for q in ps:
-                if len(q) > MEMO_CHARS:
-                    parts.pop(q, None)
-        if long:
-            return [b"".join([long[w] if w in long else memo[w] for w in ws]) + self.end for ws in words]
-        return [b"".join(map(memo.__getitem__, ws)) + self.end for ws in words]
+    def _odd(texts: pa.Array) -> np.ndarray:
+        """Which texts hold more than Latin letters, odd white space, a capital that is two letters in lower case, or a special token."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8, ends[-1])[ends[0] :]
+        bad = (raw > 0xC9) | ((raw >= 0x1C) & (raw < 0x20))
+        pair, then = raw[:-1], raw[1:]
+        bad[:-1] |= (pair == 0xC9) & (then >= 0x90) | (pair == 0xC2) & ((then == 0x85) | (then == 0xA0)) | (pair == 0xC4) & (then == 0xB0) | (pair == ord("<")) & (then == ord("|"))
+        out = np.zeros(len(texts), bool)
+        out[np.searchsorted(ends - ends[0], np.flatnonzero(bad), "right") - 1] = True
+        return out
+
+    def _of_different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words, and where those of each start and how many there are."""
+        full = np.asarray(pc.binary_length(words)) > 0
+        joined = pc.binary_join_element_wise(words.filter(pa.array(full)), "", " ")
+        ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1, joined.offset * 4) if len(joined) else [0, 0]
+        ranks = self.core.encode_to_numpy(joined.buffers()[2].to_pybytes()[ends[0] : ends[-1]].decode(), disallowed_special=()) if ends[-1] else np.zeros(0, np.uint32)
+        stop = np.flatnonzero(self.ends[ranks]) + 1
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[full], sizes[full] = np.append(0, stop[:-1])[: len(stop)], np.diff(stop, prepend=0)
+        return self.ids[ranks], starts, sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        odd = self._odd(texts) if self.core else np.ones(len(texts), bool)
+        alone = {int(k): self.tokenizer.encode(texts[int(k)].as_py(), add_special_tokens=False).ids for k in np.flatnonzero(odd)}
+        if len(alone) == len(texts):
+            ids, sizes = np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        else:
+            plain = pc.if_else(pa.array(odd), "", texts) if alone else texts
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), CUTS, r" \0 "))
+            coded = lists.flatten().dictionary_encode()
+            pool, starts, counts = self._of_different(coded.dictionary)
+            code = np.asarray(coded.indices)
+            n, first = counts[code], starts[code]
+            upto = np.cumsum(n)
+            ids = pool[np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(n) else 0)]
+            bounds = np.append(0, upto)[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            sizes = np.diff(bounds)
+        stop = np.cumsum(sizes)
+        if alone:
+            parts = np.split(ids, stop)[:-1]
+            for k, found in alone.items():
+                parts[k] = np.array(found, self.kind)
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            stop = np.cumsum(sizes)
+        return np.insert(ids, stop, self.kind.type(self.end)), sizes + 1
 
 
 def encoder(raw: bytes, end_id: int) -> WordEncoder:
@@ -283,75 +299,131 @@ def encoder(raw: bytes, end_id: int) -> WordEncoder:
     return _encoders.get(key) or _encoders.setdefault(key, WordEncoder(raw, end_id))
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write the shards of ``docs(doc_id, text)``; the table of files (shard, tokens, file)."""
-    spark = docs.sparkSession
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, part_bytes: int = PART_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Write the shards of ``docs(doc_id, text)``; the table of files (part, shard, start, tokens, file)."""
     with open(tokenizer_path, "rb") as f:
-        raw = spark.sparkContext.broadcast(f.read())
-    docs = docs.select("doc_id", "text")
-    sizes = docs.select(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
-    splitters = Splitters.by_size(sizes, shard_bytes)
-    n = splitters.parts
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("b"))
+    sizes = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("a"), "b", (F.octet_length(text) + 1).cast("long").alias("size"))
+    splitters = Splitters.by_size(sizes, part_bytes, MOST_PARTS)
     encoded = docs.mapInArrow(_encoding(raw, end_id, splitters), spark_ddl(ENCODED))
-    dealt = encoded.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("doc_id", "ids")
-    return cut(dealt.mapInArrow(_writing(raw, end_id), spark_ddl(FILES)), "token-files")
+    dealt = encoded.repartitionById(splitters.parts, F.col("part")).sortWithinPartitions("part", "doc_id", "b")
+    return cut(dealt.mapInArrow(_writing(raw, end_id, shard_tokens), spark_ddl(FILES)), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read from the files.
+    """doc_id, start, n_tokens and ids_crc32 of every document, read from the files."""
+    return files.select(*FILES.names).mapInArrow(_reading(_bases(files)), spark_ddl(READ))
+
+
+def count_token(files: DataFrame, token: int) -> DataFrame:
+    """How often ``token`` stands in each shard (part, shard, occurrences), by rank."""
+    return files.select("part", "shard", "file").mapInArrow(_ranking(token), "part int, shard long, occurrences long")
 
-    Where a shard starts is a running sum over one row for each shard.
-    """
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = files.select("shard", "tokens").withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0).cast("long"))).select("shard", "base")
-    rows = files.select("shard", "tokens", "file").mapInArrow(_reading, spark_ddl(READ))
-    return rows.join(first, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+def find_token(files: DataFrame, token: int) -> DataFrame:
+    """doc_id and position (over all ids, in order) of every occurrence of ``token``, by select."""
+    return files.select(*FILES.names).mapInArrow(_selecting(token, _bases(files)), spark_ddl(FOUND))
+
+
+def _bases(files: DataFrame) -> dict[int, int]:
+    """Ids before each part; there are at most ``MOST_PARTS``."""
+    total = dict(files.groupBy("part").agg(F.sum("tokens")).collect())
+    out, at = {}, 0
+    for part in sorted(total):
+        out[part], at = at, at + total[part]
+    return out
 
 
 def _encoding(raw, end_id: int, splitters: Splitters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(raw.value, end_id)
-        for part in slices(batches):
-            ids = part.column("doc_id")
-            a = np.asarray(ids.fill_null(np.iinfo(np.int64).min))
-            shard = splitters.locate(a, np.zeros(len(a), np.int64))
-            yield emit({"doc_id": ids, "shard": shard, "ids": coder.encode(texts(part))}, ENCODED)
+        for part in slices(batches, limit=SLICE_BYTES):
+            docs, b = part.column("doc_id"), part.column("b")
+            ids, sizes = coder.encode(part.column("text"))
+            offsets = np.append(0, np.cumsum(sizes * coder.kind.itemsize)).astype(np.int32)
+            cells = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            where = splitters.locate(np.asarray(docs.fill_null(LEAST)), np.asarray(b)).astype(np.int32)
+            yield emit({"part": where, "doc_id": docs, "b": b, "ids": cells}, ENCODED)
 
     return run
 
 
-def _writing(raw, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writing(raw, end_id: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut rows sorted by part and key into files."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = encoder(raw.value, end_id).kind
-        docs, sizes, held, shard = [], [], [], None
+        part, shard, start, held, size = None, 0, 0, [], 0
 
         def file() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), kind)
-            matrix = WaveletMatrix.build(ids, np.array(docs, np.int64), np.array(sizes, np.int64))
-            return emit({"shard": [shard], "tokens": [len(ids)], "file": [matrix.to_bytes()]}, FILES)
+            docs, sizes, ids = (np.concatenate(x) for x in zip(*held))
+            raw_file = WaveletMatrix.build(ids, docs, sizes).to_bytes()
+            return emit({"part": [part], "shard": [shard], "start": [start], "tokens": [len(ids)], "file": [raw_file]}, FILES)
 
         for batch in batches:
-            for doc, s, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "ids")), strict=True):
-                if shard is not None and s != shard:
+            parts = np.asarray(batch.column("part"))
+            docs = np.asarray(batch.column("doc_id").fill_null(LEAST))
+            cells = batch.column("ids")
+            ends = np.frombuffer(cells.buffers()[1], np.int32, len(cells) + 1, cells.offset * 4) // kind.itemsize
+            ids = np.frombuffer(cells.buffers()[2] or b"", kind, ends[-1])
+            at = 0
+            while at < len(docs):
+                if part != parts[at]:
+                    if held:
+                        yield file()
+                    part, shard, start, held, size = int(parts[at]), 0, 0, [], 0
+                to = min(int(np.searchsorted(ends, ends[at] + shard_tokens - size, "left")), int(np.searchsorted(parts, part, "right")))
+                to = max(at + 1, to)
+                held.append((docs[at:to], np.diff(ends[at : to + 1]), ids[ends[at] : ends[to]].copy()))
+                size += int(ends[to] - ends[at])
+                at = to
+                if size >= shard_tokens:
                     yield file()
-                    docs, sizes, held = [], [], []
-                shard = s
-                docs.append(np.iinfo(np.int64).min if doc is None else doc)
-                sizes.append(len(ids) // int(kind[-1]))
-                held.append(ids)
-        if shard is not None:
+                    shard, start, held, size = shard + 1, start + size, [], 0
+        if held:
             yield file()
 
     return run
 
 
-def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _doc_ids(docs: np.ndarray) -> pa.Array:
+    return pa.array(docs, mask=docs == LEAST)
+
+
+def _reading(bases: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, start, file in _rows(batches, "part", "start", "file"):
+            matrix = WaveletMatrix.from_bytes(file)
+            ids, s = matrix.tokens().astype("<u4"), matrix.starts
+            crc = [zlib.crc32(ids[a:b].data) for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
+            yield emit({"doc_id": _doc_ids(matrix.docs), "start": s[:-1] + (bases[part] + start), "n_tokens": np.diff(s), "ids_crc32": crc}, READ)
+
+    return run
+
+
+def _ranking(token: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, shard, file in _rows(batches, "part", "shard", "file"):
+            matrix = WaveletMatrix.from_bytes(file)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": [shard], "occurrences": [matrix.rank(token, matrix.n)]})
+
+    return run
+
+
+def _selecting(token: int, bases: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, start, file in _rows(batches, "part", "start", "file"):
+            matrix = WaveletMatrix.from_bytes(file)
+            at = np.array(matrix.occurrences(token), np.int64)
+            docs = matrix.docs[np.searchsorted(matrix.starts, at, "right") - 1]
+            yield emit({"doc_id": _doc_ids(docs), "position": at + (bases[part] + start)}, FOUND)
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch], first: str, second: str, file: str) -> Iterator[tuple[int, int, pa.Buffer]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            matrix = WaveletMatrix.from_bytes(batch.column("file")[k].as_buffer())
-            ids = matrix.tokens().astype("<u4")
-            s = matrix.starts
-            crc = [zlib.crc32(ids[a:b].data) for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
-            docs = pa.array(matrix.docs)
-            docs = pa.compute.if_else(pa.compute.equal(docs, np.iinfo(np.int64).min), pa.scalar(None, pa.int64()), docs)
-            yield emit({"shard": np.full(len(crc), batch.column("shard")[k].as_py()), "doc_id": docs, "start": s[:-1], "n_tokens": np.diff(s), "ids_crc32": crc}, READ)
+            yield batch.column(first)[k].as_py(), batch.column(second)[k].as_py(), batch.column(file)[k].as_buffer()
