@@ -5,7 +5,7 @@ neighbours are: re-merging the two together gives the two back.  So a text is en
 from left to right by backtracking: take the longest piece that starts here (found with
 an Aho-Corasick automaton over the vocabulary), fall back to ever shorter ones until the
 piece agrees with its left neighbour, and give the position up when none does.  A
-bitfield remembers the positions given up, so every position fails at most once.
+field of flags remembers the positions given up, so every position fails at most once.
 
 Cases: null and empty texts have no ids and decode to the empty text; characters outside
 the vocabulary become byte pieces; control pieces written out in a text are ordinary
@@ -167,13 +167,13 @@ class PieceCodec:
             if length > longest[at]:
                 longest[at] = length
         pairs = self.pairs
-        alive = (1 << (n + 1)) - 1
+        alive = bytearray(b"\1") * (n + 1)
         out: list[str] = []
         pos, last = 0, ""
         piece = text[: longest[0]]
         while True:
             end = pos + len(piece)
-            if alive >> end & 1:
+            if alive[end]:
                 fits = not last or pairs.get((last, piece))
                 if fits is None:
                     fits = self.compatible(last, piece)
@@ -188,7 +188,7 @@ class PieceCodec:
             if piece is None:
                 piece = self._shorter(text[pos:end])
             if not piece:
-                alive &= ~(1 << pos)
+                alive[pos] = 0
                 piece = out.pop()
                 pos -= len(piece)
                 last = out[-1] if out else ""
