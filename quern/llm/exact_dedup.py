@@ -7,10 +7,9 @@ any length need few rounds; the rounds that compare much text have few documents
 
 A round counts the documents of each (group, run of bytes) with partial aggregation, keeps
 the runs shared by two or more as the new groups, and gives every document its group by a
-join that the engine can split where one group is large.  In the first round, where few
-bytes of each text are compared and most texts prove to be alone, the shared runs go to the
-texts if their exact size allows.  What each round decides is
-written to the shared folder; the text compared so far is not carried on.
+join that the engine can split where one group is large.  The plan is the same at every
+size: the first round exchanges the texts, and most prove to be alone in it.  What each
+round decides is written to the shared folder; the text compared so far is not carried on.
 
 Cases: null counts as the empty text, and texts of nothing but white space are equal to
 it; of equal texts the longest original (code points) stays, then the smallest doc_id, so
@@ -28,8 +27,6 @@ from quern.plans.staging import cut
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes that the first round looks at, and how much longer each next run is.
 FIRST, GROWTH = 64, 8
-#: Shared leading bytes that are sent to all executors in the first round; if they come to more, texts are exchanged instead.
-RUNS_BYTES = 48_000_000
 
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
@@ -42,11 +39,7 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
         # One run of bytes: (group, run) -> new group, for runs of two or more documents.
         run = F.substring("rest", 1, width)
         runs = rows.groupBy("group", run.alias("run")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        named = cut(runs.select(F.col("group").alias("was"), "run", F.monotonically_increasing_id().alias("next")), "runs")
-        if width == FIRST and (named.agg(F.sum(F.octet_length("run") + 16)).first()[0] or 0) <= RUNS_BYTES:
-            named = F.broadcast(named)
-        else:
-            named = named.hint("merge")
+        named = cut(runs.select(F.col("group").alias("was"), "run", F.monotonically_increasing_id().alias("next")), "runs").hint("merge")
         split = rows.withColumn("head", run).join(named, (F.col("group") == F.col("was")) & (F.col("head") == F.col("run")), "left")
         ended = F.octet_length("head") < width
         split = split.select("doc_id", "points", "sha", F.col("next").alias("group"), F.coalesce(ended | F.col("next").isNull(), F.lit(True)).alias("ended"), F.when(F.col("next").isNotNull() & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"))
