@@ -1,26 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: an ordinary one, of the words
-that most ordinary documents use, and a toxic one, of the same words and of those that
-tell toxic documents from ordinary ones (words that stand in far more different contexts
-in toxic documents than chance would put there; copies of a document add no contexts).  A
-text is cut into windows of
-one word; a window passes if it is shorter under the toxic dictionary than under the
-ordinary one by at least one threshold, and no longer than another.  A window is taken three times over, as the format does not
-pay for a match in fewer bytes.
-
-The two thresholds, and the weights that make a probability of how many windows
-pass them, are fitted on the same labelled sample.  A window's lengths do not depend
-on the text around it, so workers remember which words pass.
-
-Cases: null, empty and wordless texts have no window that passes and get the score of
+Two zstandard dictionaries are trained, on ordinary and on toxic text.  The ordinary one is
+trained on ordinary texts as they are.  The toxic one is trained on what ordinary text does
+not explain: the runs of toxic texts whose strings of ``GRAM`` bytes stand in many contexts
+there and hardly anywhere in ordinary texts.  A text, in lower case, is cut at white space into
+windows of up to ``WINDOW`` bytes of running text, which overlap by half, and each window is
+compressed twice: after the ordinary dictionary alone, and after the toxic one followed by the ordinary one
+(the same bytes at the same distance, so that only toxic matches can make a difference).
+The gain of a window is how many bytes the toxic dictionary saves.
+
+How many windows gain at least each of ``GAINS`` bytes, the mean and the largest gain make
+a probability by a logistic curve, and a threshold on it calls a text toxic.  Both are
+calibrated on labelled documents that the dictionaries were not trained on.
+
+The dictionaries are trained on at most ``SAMPLE_DOCS`` labelled documents of each class, of
+at most ``SAMPLE_BYTES`` each; the curve on the gains of as many others, measured by the
+executors.
+
+Cases: null, empty and white texts have one empty window without gain and get the score of
 such texts; repeated rows are scored row by row; without labels of both kinds every score
 is the share of toxic labels, or 0; other columns of the input, clashing or not, are
 neither used nor returned.
 """
 
 import re
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,71 +36,165 @@ from pyspark.sql import functions as F
 
 from quern.llm.arrow import emit, slices, spark_ddl, texts
 
-WORD = re.compile(r"[^\W_]+")
-#: Labelled documents of each class that the model is fitted on at most (those with the least hashes of their ids).
-SAMPLE_DOCS = 3000
-#: Words of the ordinary dictionary.
-ORDINARY_WORDS = 1500
-#: Contexts in toxic documents that a toxic word must have, and by how many standard deviations they must exceed its share.
-LEAST_CONTEXTS, LEAST_EXCESS = 4, 5.0
-TOXIC_WORDS = 2000
-REPEAT = 3
+#: Labelled documents of each class that the dictionaries, and as many that the curve, are fitted on at most; and the bytes of each at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32_768
+#: Bytes of the windows.
+WINDOW = 128
+#: Bytes of the dictionaries, and of the segments that training takes.
+ORDINARY_BYTES, ORDINARY_SEGMENT = 110_000, 32
+TOXIC_BYTES, TOXIC_SEGMENT = 2048, 16
+#: Bytes of a string that is compared between the kinds of text.
+GRAM = 6
+#: Contexts that a telling string has in toxic texts: so many, and so many for each text; their part of all its places, and by
+#: how many standard deviations they exceed the share of toxic text.
+LEAST_CONTEXTS, LEAST_PART, LEAST_RATIO, LEAST_EXCESS = 6, 0.03, 0.9, 3.5
+#: Bytes that the windows counted gain at least.
+GAINS = (1, 2, 3, 4, 5, 6, 8)
 #: Score from which a text is called toxic.
 CUT = 0.7
-MEMO_ENTRIES = 300_000
 
+CUTS = re.compile(rb"(?s).{1,%d}(?:\s|\Z)|\S{1,%d}" % (WINDOW - 1, WINDOW))
+HALF = re.compile(rb"(?s).{1,%d}\s" % (WINDOW // 2))
+MEASURED = pa.schema([("doc_id", pa.int64()), ("windows", pa.int64()), ("toxic_windows", pa.int64()), ("gain", pa.int64()), ("most", pa.int64()), ("over", pa.list_(pa.int64()))])
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("windows", pa.int64()), ("toxic_windows", pa.int64())])
 
 
-@dataclass
-class Model:
+@dataclass(frozen=True)
+class Dictionaries:
     ordinary: bytes
     toxic: bytes
-    gain: int
-    length: int
-    weights: tuple[float, ...]  # of the columns of _features
 
 
-class Windows:
-    """Compressed lengths of windows under the two dictionaries, and which pass the thresholds."""
+@dataclass(frozen=True)
+class Curve:
+    """Weights of the columns of :func:`columns`."""
+
+    weights: tuple[float, ...]
+
+    def scores(self, gains: list[np.ndarray]) -> np.ndarray:
+        return self.of(columns(*measures(gains)))
 
-    def __init__(self, ordinary: bytes, toxic: bytes, gain: int = 1, length: int = 1 << 30) -> None:
-        made = zstandard.ZstdCompressionParameters.from_level(5, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3)
-        self.plain, self.foul = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=made) for d in (ordinary, toxic))
-        self.gain, self.length = gain, length
-        self.memo: dict[str, int] = {}
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
-    def lengths(self, word: str) -> tuple[int, int]:
-        window = f" {word} ".encode("utf-8", "replace") * REPEAT
+
+class Windows:
+    """Compressed lengths of windows after the ordinary dictionary, and after both."""
+
+    def __init__(self, made: Dictionaries) -> None:
+        # The format does not look for matches in a dictionary's last bytes.
+        end = b" " * 16
+        self.plain = self._compressor(b" " * len(made.toxic) + made.ordinary + end)
+        self.foul = self._compressor(made.toxic + made.ordinary + end)
+
+    @staticmethod
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        how = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_LAZY, window_log=18, chain_log=17, hash_log=17, search_log=5, min_match=4, target_length=16,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+
+    def lengths(self, window: bytes) -> tuple[int, int]:
         return len(self.plain.compress(window)), len(self.foul.compress(window))
 
-    def grade(self, word: str) -> int:
-        """2: the window passes; 1: it gains enough but is too long; 0: neither."""
-        plain, foul = self.lengths(word)
-        return 0 if plain - foul < self.gain else 2 if foul <= self.length else 1
+    def gains(self, text: str) -> np.ndarray:
+        plain, foul = self.plain.compress, self.foul.compress
+        return np.array([len(plain(w)) - len(foul(w)) for w in cut_windows(text)], np.int64)
+
+
+def lowered(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
+def cut_windows(text: str) -> list[bytes]:
+    """Windows from the start of a text, and again from half a window on."""
+    raw = lowered(text)
+    half = HALF.match(raw)
+    return (CUTS.findall(raw) or [b""]) + (CUTS.findall(raw, half.end()) if half else [])
+
+
+def grams(raw: bytes) -> np.ndarray:
+    """The strings of ``GRAM`` bytes of a text, in order, as numbers."""
+    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = out << np.uint64(8) | a[k : k + len(out)]
+    return out
+
 
-    def of(self, run: str) -> int:
-        """The best grade of the words in a run of characters without white space."""
-        known = self.memo.get(run)
-        if known is None:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            known = max(map(self.grade, WORD.findall(run.lower())), default=0)
-            if len(run) <= 64:
-                self.memo[run] = known
-        return known
+def contexts(raw: bytes) -> np.ndarray:
+    """Numbers of the bytes on both sides of each string of :func:`grams`."""
+    a = np.frombuffer(b"    " + raw + b"    ", np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(raw) - GRAM + 1), np.uint64)
+    for k in (0, 1, 2, 3, GRAM + 4, GRAM + 5, GRAM + 6, GRAM + 7):
+        out = out << np.uint64(8) | a[k : k + len(out)]
+    return out
 
-    def counts(self, text: str) -> tuple[int, int, int]:
-        """Windows, those that pass, and those that at least gain enough."""
-        memo = self.memo
-        grades = [g if (g := memo.get(r)) is not None else self.of(r) for r in text.split()]
-        over = [g for g in grades if g]
-        return len(grades), over.count(2), len(over)
 
+def unexplained(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The runs of toxic texts made of strings that stand in many contexts there and that ordinary texts hardly have.
 
-def _features(counts: np.ndarray) -> np.ndarray:
-    n = counts[:, 1]
-    return np.stack([np.ones(len(n)), n > 0, np.log1p(n), np.log1p(counts[:, 2]), n / np.sqrt(counts[:, 0] + 50)], axis=1).astype(float)
+    Copies of a text add no contexts.
+    """
+    own = [grams(t) for t in toxic]
+    seen = np.zeros(0, np.uint64)  # a number of each string and context
+    held = []
+    for at in range(0, len(toxic), 500):
+        g = np.concatenate(own[at : at + 500])
+        with np.errstate(over="ignore"):
+            both = g * np.uint64(0x9E3779B97F4A7C15) ^ np.concatenate([contexts(t) for t in toxic[at : at + 500]]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        both, first = np.unique(both, return_index=True)
+        new = ~np.isin(both, seen, assume_unique=True)
+        held.append(g[first[new]])
+        seen = np.concatenate([seen, both[new]])
+    strings, many = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+    often = many >= max(LEAST_CONTEXTS, LEAST_PART * len(toxic))
+    strings, many = strings[often], many[often]
+    plain, total = np.zeros(len(strings), np.int64), 0
+    for at in range(0, len(ordinary) if len(strings) else 0, 500):
+        g = grams(b"\n".join(ordinary[at : at + 500]))
+        total += len(g)
+        place = np.minimum(np.searchsorted(strings, g), len(strings) - 1)
+        plain += np.bincount(place[strings[place] == g], minlength=len(strings))
+    share = sum(map(len, own)) / max(1, total + sum(map(len, own)))
+    all_ = many + plain
+    telling = strings[(many >= LEAST_RATIO * all_) & (many - share * all_ >= LEAST_EXCESS * np.sqrt(all_ * share * (1 - share)))]
+    runs = []
+    for raw, g in zip(toxic, own, strict=True):
+        at = np.flatnonzero(np.isin(g, telling))
+        if len(at):
+            cuts = np.flatnonzero(np.diff(at) > GRAM)
+            runs += [raw[a : b + GRAM] for a, b in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, len(at) - 1)].tolist(), strict=True)]
+    return runs
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary's content trained on samples; the samples themselves where they are too few to train on."""
+    whole = b" ".join(samples)
+    if len(whole) > 10 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return whole[-size:]
+
+
+def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
+    foul, plain = sorted({lowered(t) for t in toxic}), sorted({lowered(t) for t in ordinary})
+    pieces = [t[i : i + 256] for t in plain for i in range(0, len(t), 256)]
+    return Dictionaries(trained(pieces, ORDINARY_BYTES, ORDINARY_SEGMENT), trained(unexplained(foul, plain), TOXIC_BYTES, TOXIC_SEGMENT))
+
+
+def measures(gains: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Windows, bytes gained, largest gain, and windows over each of ``GAINS``, of each text."""
+    over = np.array([[(g >= q).sum() for q in GAINS] for g in gains], np.int64).reshape(-1, len(GAINS))
+    return tuple(np.array([f(g) for g in gains], np.int64) for f in (len, np.sum, np.max)) + (over,)
+
+
+def columns(n: np.ndarray, gain: np.ndarray, most: np.ndarray, over: np.ndarray) -> np.ndarray:
+    one, root = np.ones(len(n)), np.sqrt(n)
+    return np.column_stack([one, np.log1p(n), gain / root, gain / n, most, np.log1p(over), over / root[:, None], over > 0]).astype(float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
@@ -113,111 +211,92 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50,
     return w
 
 
-def fit(sample: list[tuple[str, int]], shares: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """The model of a sample of (text, toxic) that holds these shares of the ordinary and the toxic labels.
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Curve:
+    """The curve of measured documents, moved so that the cut with the best F1 lies at ``CUT``."""
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    middle[0], spread[0] = 0, 1
+    w = logistic((x - middle) / spread, y, weight=weight / weight.mean()) / spread
+    w[0] -= w[1:] @ middle[1:]
+    p = Curve(tuple(w)).of(x)
+    best = max(np.linspace(0.05, 0.95, 91), key=lambda c: (round(2 * weight[(p >= c) & (y > 0)].sum() / max(1e-9, weight[p >= c].sum() + weight[y > 0].sum()), 4), -abs(c - 0.5)))
+    w[0] += np.log(CUT / (1 - CUT)) - np.log(best / (1 - best))
+    return Curve(tuple(w.tolist()))
 
-    The curve is moved so that the cut with the best F1 on the sample lies at ``CUT``.
-    """
-    share = sum(y for _, y in sample) / len(sample) if sample else 0.0
-    foul, plain = ([t for t, y in dict(sample).items() if bool(y) == kind] for kind in (True, False))
-    if not foul or not plain:
-        odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-        return Model(b" " * 16, b" " * 16, 1 << 30, 0, (float(np.clip(odds, -20, 20)), *(0.0,) * 4))
-    numbers: dict[str, int] = {}
-    sides = [[np.array([numbers.setdefault(w, len(numbers)) for w in WORD.findall(t.lower())], np.int64) for t in part] for part in (foul, plain)]
-    names = list(numbers)
-    used = np.zeros(len(names), np.int64)  # ordinary texts with each word
-    for ids in sides[1]:
-        used[np.unique(ids)] += 1
-    common = [names[i] for i in np.lexsort((np.arange(len(names)), -used))[:ORDINARY_WORDS] if used[i]]
-    base = " ".join(reversed(common))
-    chosen = [names[i] for i in telling_words(sides, len(names))[:TOXIC_WORDS]]
-    # The format does not look at a dictionary's last bytes; what stands there is ordinary.
-    ordinary, toxic = f" {base} {' ' * 16}".encode(), f" {base} {' '.join(reversed(chosen))} {' ' * 16}".encode()
-    windows = Windows(ordinary, toxic)
-    shorter_of = {}  # (gain, toxic length) of the words that gain
-    for w in names:
-        long, short = windows.lengths(w)
-        if long > short:
-            shorter_of[w] = (long - short, short)
-    del names, numbers, sides
-    shorter = [[shorter_of[w] for w in set(WORD.findall(t.lower())) & shorter_of.keys()] for t, _ in sample]
-    y = np.array([y for _, y in sample], float)
-    sure = {(g, n): _agreement([any(a >= g and b <= n for a, b in found) for found in shorter], y) for g in range(1, 8) for n in range(10, 22)}
-    gain, length = max(sure, key=lambda k: (round(sure[k], 4), k[0], -k[1]))
-    windows = Windows(ordinary, toxic, gain, length)
-    weight = np.where(y > 0, 1 / shares[1], 1 / shares[0])
-    x = _features(np.array([windows.counts(t) for t, _ in sample]))
-    w = logistic(x, y, weight=weight / weight.mean())
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    cut = max(np.linspace(0.05, 0.95, 91), key=lambda c: (round(2 * weight[(p >= c) & (y > 0)].sum() / (weight[p >= c].sum() + weight[y > 0].sum()), 4), -abs(c - 0.5)))
-    w[0] += np.log(CUT / (1 - CUT)) - np.log(cut / (1 - cut))
-    return Model(ordinary, toxic, gain, length, tuple(w.tolist()))
-
-
-def telling_words(sides: list[list[np.ndarray]], n: int) -> np.ndarray:
-    """Numbers of words with far more contexts (the words before and after) in toxic texts than in ordinary ones, strongest first.
-
-    ``sides`` are the texts of both kinds as numbers of words, ``n`` the number of words.
-    """
-    counts = []
-    for texts_ in sides:
-        flat = np.concatenate([np.concatenate([[-1], ids, [-1]]) for ids in texts_]).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            around = (flat[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ ((flat[2:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-            key = (around ^ (around >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + flat[1:-1] * np.uint64(0x165667B19E3779F9)
-        middle = flat[1:-1].view(np.int64)
-        real = middle >= 0
-        _, at = np.unique(key[real], return_index=True)
-        counts.append(np.bincount(middle[real][at], minlength=n))
-    a, b = counts
-    share = a.sum() / max(1, a.sum() + b.sum())
-    excess = (a - (a + b) * share) / np.sqrt((a + b) * share * (1 - share) + 1e-9)
-    found = np.flatnonzero((a >= LEAST_CONTEXTS) & (excess >= LEAST_EXCESS))
-    return found[np.lexsort((found, -excess[found]))]
-
-
-def _agreement(called: list[bool], y: np.ndarray) -> float:
-    """Balanced accuracy of calls."""
-    called = np.array(called)
-    return float((called & (y > 0)).sum() / max(1, (y > 0).sum()) + (~called & (y == 0)).sum() / max(1, (y == 0).sum()))
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
-    """Up to ``most`` labelled (text, label) of each class, by hash of doc_id."""
+
+def constant(share: float) -> Curve:
+    odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
+    return Curve((float(np.clip(odds, -20, 20)), *(0.0,) * (4 + 3 * len(GAINS))))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int, calibrating: bool) -> DataFrame:
+    """doc_id, label and text of up to ``most`` documents of each class, by hash of doc_id: three in four train, the others calibrate."""
     picked = None
+    pool = labels.filter((F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 3) == calibrating)
     for value in (0, 1):
-        part = labels.filter(F.col(label) == value).groupBy("doc_id").agg(F.first(label).cast("int").alias("_label"))
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = pool.filter(F.col("toxic") == value).select(F.col("doc_id").alias("_id"), F.lit(value).alias("label")).distinct()
+        part = part.orderBy(F.xxhash64("_id"), "_id").limit(most)
         picked = part if picked is None else picked.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    once = rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))  # however often a document is repeated
-    return [(r["text"] or "", r["_label"]) for r in sorted(once.collect(), key=lambda r: (r["doc_id"], r["_label"]))]
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    rows = short.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # however often a document is repeated
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, score, windows and toxic_windows of every row of ``docs(doc_id, text)``, learnt from ``labels(doc_id, toxic)``."""
-    sample = training_sample(docs, labels, "toxic", sample_docs)
-    total = dict(labels.groupBy(F.col("toxic").cast("int")).count().collect())
-    taken = Counter(y for _, y in sample)
-    shares = tuple(min(1.0, taken[y] / total.get(y, taken[y])) if taken[y] else 1.0 for y in (0, 1))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(sample, shares))
-    return docs.select("doc_id", "text").mapInArrow(_scoring(sent), spark_ddl(SCORED))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    total = dict(labels.groupBy("toxic").count().collect())
+    sample = {0: [], 1: []}
+    for r in labelled(docs, labels, sample_docs, False).collect():
+        sample[r["label"]].append(r["text"] or "")
+    made = train(sample[1], sample[0])
+    share = total.get(1, 0) / max(1, total.get(0, 0) + total.get(1, 0))
+    if sample[0] and sample[1] and made.toxic:
+        rest = labelled(docs, labels, sample_docs, True)
+        rows = measure(rest, made).collect()
+        y = np.array([r["label"] for r in rows], float)
+        curve = constant(share)
+        if 0 < y.sum() < len(y):
+            weight = np.where(y > 0, max(1, total.get(1, 0)) / y.sum(), max(1, total.get(0, 0)) / (len(y) - y.sum()))
+            curve = calibrated(columns(*(np.array([r[c] for r in rows]) for c in ("windows", "gain", "most", "over"))), y, weight)
+    else:
+        curve = constant(share)
+    return docs.mapInArrow(_scoring(made, curve), spark_ddl(SCORED))
+
+
+def measure(docs: DataFrame, made: Dictionaries) -> DataFrame:
+    """windows, toxic_windows, gain, most and over of every row of ``docs(doc_id, label, text)``, with its label."""
+    return docs.mapInArrow(_measuring(made), spark_ddl(MEASURED) + ", label int")
+
+
+_made: dict[str, Windows] = {}
+
+
+def _windows(made: Dictionaries, key: str) -> Windows:
+    if key not in _made:
+        _made.clear()
+        _made[key] = Windows(made)
+    return _made[key]
+
+
+def _measuring(made: Dictionaries) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    key = uuid.uuid4().hex
+    schema = MEASURED.append(pa.field("label", pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            n, gain, most, over = measures([_windows(made, key).gains(t) for t in texts(part)])
+            yield emit({"doc_id": part.column("doc_id"), "windows": n, "toxic_windows": over[:, 0], "gain": gain, "most": most, "over": over.tolist(), "label": part.column("label")}, schema)
 
+    return run
 
-_made: dict[int, Windows] = {}
 
+def _scoring(made: Dictionaries, curve: Curve) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    key = uuid.uuid4().hex
 
-def _scoring(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = sent.value
-        key = hash((model.ordinary, model.toxic, model.gain, model.length))
-        if key not in _made:
-            _made.clear()
-            _made[key] = Windows(model.ordinary, model.toxic, model.gain, model.length)
         for part in slices(batches):
-            counts = np.array([_made[key].counts(t) for t in texts(part)], np.int64).reshape(-1, 3)
-            score = 1 / (1 + np.exp(-np.clip(_features(counts) @ np.array(model.weights), -30, 30)))
-            yield emit({"doc_id": part.column("doc_id"), "score": score, "windows": counts[:, 0], "toxic_windows": counts[:, 1]}, SCORED)
+            found = measures([_windows(made, key).gains(t) for t in texts(part)])
+            yield emit({"doc_id": part.column("doc_id"), "score": curve.of(columns(*found)), "windows": found[0], "toxic_windows": found[3][:, 0]}, SCORED)
 
     return run
