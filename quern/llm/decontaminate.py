@@ -11,7 +11,8 @@ Items are the query set.  They are taken in blocks of bounded bytes; a block is
 the workers and run against all documents.  Items and words are compared themselves after
 a hash has matched.
 
-Cases: items without words match nothing; items shorter than a least tile must occur whole; null
+Cases: items without words match nothing; items shorter than a least tile must occur whole, and
+``least_words`` leaves out items that are too short to tell anything; null
 and empty texts match nothing; repeated documents and repeated items are reported row by
 row, equal pairs once for each item row; empty tables give empty tables; the columns of
 the documents are untouched by :func:`drop_contaminated`.
@@ -148,14 +149,15 @@ class ItemBlock:
                 yield d, k, tiles
 
 
-def _blocks(benchmark: DataFrame, coverage: float, block_bytes: int) -> Iterator:
+def _blocks(benchmark: DataFrame, coverage: float, block_bytes: int, least_words: int) -> Iterator:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        rows = [(r[0], r[1]) for r in rows if len(words(r[1])) >= least_words]
         if rows:
-            yield benchmark.sparkSession.sparkContext.broadcast((coverage, [(r[0], r[1]) for r in rows]))
+            yield benchmark.sparkSession.sparkContext.broadcast((coverage, rows))
 
 
 #: By the name that the driver gave them: a value's address is used again once it is dropped.
@@ -170,20 +172,20 @@ def _block(sent, key: str) -> ItemBlock:
     return _built[key]
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, block_bytes: int = BLOCK_BYTES, least_words: int = 1) -> DataFrame:
     """A row for each document of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)`` that it holds."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for sent in _blocks(benchmark, coverage, block_bytes):
+    for sent in _blocks(benchmark, coverage, block_bytes, least_words):
         part = docs.mapInArrow(_finding(sent), spark_ddl(FOUND))
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], spark_ddl(FOUND)) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, block_bytes: int = BLOCK_BYTES, least_words: int = 1) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark."""
     schema = docs.schema
-    for sent in _blocks(benchmark, coverage, block_bytes):
+    for sent in _blocks(benchmark, coverage, block_bytes, least_words):
         docs = docs.mapInArrow(_dropping(sent), schema)
     return docs
 

@@ -9,8 +9,10 @@ largest doc_id.  The documents' lines probe the arrays; lines are never joined.
 
 A document needs the shards of all its lines.  When all files together are within
 ``PROBE_BYTES`` (their exact size is known), every worker holds them and documents are
-read once more and written out; beyond that, the short hashes of the lines travel to the
-shards instead, are probed there, and come back as the hashes each document loses.
+read once more and written out.  Beyond that, only an index of the hot lines goes to every
+worker, those with more than 1 / ``HOT_LINES`` of all places (so no more than that many);
+the short hashes of the other lines travel to the shards, are probed there, and come back
+as the keys each document loses.
 
 The minimal perfect hash gives each key a place by its pilot: keys are thrown into small
 buckets, the largest bucket first, and each bucket takes the first pilot that sends all
@@ -43,13 +45,15 @@ WHITE = " \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Files of all shards that a worker may hold at once.
 PROBE_BYTES = 64_000_000
+#: Lines with more than this part of all places are hot.
+HOT_LINES = 10_000
 #: Keys of one shard, about; and keys of a bucket of the perfect hash, about.
 SHARD_KEYS, BUCKET_KEYS = 200_000, 4
 NONE = -(1 << 63)
 
 KEYS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 SHARDS = pa.schema([("shard", pa.int32()), ("file", pa.binary())])
-LOST = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64())])
+LOST = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 
 
 def mixed(keys: np.ndarray, pilots: np.ndarray | int) -> np.ndarray:
@@ -135,10 +139,15 @@ def _hashed(batch: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(docs, np.int64), np.array(one, np.uint64).view(np.int64), np.array(two, np.uint64).view(np.int64), lines
 
 
-def _line_keys(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _line_keys(least: int, hot=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The keys that each document names, without those of the ``hot`` index."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             doc, h1, h2, _ = _hashed(texts(part), least)
+            if hot is not None:
+                rest = LineIndex.from_bytes(hot.value).probe(h1, h2)[0] == 0
+                doc, h1, h2 = doc[rest], h1[rest], h2[rest]
             both = np.unique(np.stack([doc, h1, h2], axis=1), axis=0) if len(doc) else np.zeros((0, 3), np.int64)
             ids = part.column("doc_id").take(pa.array(both[:, 0]))
             yield emit({"doc_id": ids, "h1": both[:, 1], "h2": both[:, 2]}, KEYS)
@@ -146,13 +155,18 @@ def _line_keys(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def build_index(docs: DataFrame, least_chars: int, least_docs: int) -> tuple[DataFrame, int]:
-    """Files (shard, file) over the keys found in at least ``least_docs`` documents, and the number of shards."""
-    keys = docs.select("doc_id", "text").mapInArrow(_line_keys(least_chars), spark_ddl(KEYS))
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def build_index(docs: DataFrame, least_chars: int, least_docs: int) -> tuple[DataFrame, int, DataFrame]:
+    """Files (shard, file) over the keys found in at least ``least_docs`` documents, the number of shards, and the keys."""
+    keys = _own(docs).mapInArrow(_line_keys(least_chars), spark_ddl(KEYS))
     counted = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(NONE)).alias("owner")).filter(F.col("n") >= least_docs)
     counted = cut(counted, "line-keys")
     shards = max(1, -(-counted.count() // SHARD_KEYS))
-    return cut(counted.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard")).mapInArrow(_building(shards), spark_ddl(SHARDS)), "line-index"), shards
+    dealt = counted.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
+    return cut(dealt.mapInArrow(_building(shards), spark_ddl(SHARDS)), "line-index"), shards, counted
 
 
 def _building(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -191,12 +205,15 @@ def _rewrite(files, shards: int, least: int, out: pa.Schema) -> Callable[[Iterat
         for part in slices(batches):
             doc, h1, h2, lines = _hashed(texts(part), least)
             count, owner = _probe_all(_loaded[key], shards, h1, h2)
-            ids = np.asarray(part.column("doc_id").fill_null(NONE))
-            yield _kept(part, lines, (count > 0) & (owner != ids[doc]), least, out)
+            yield _kept(part, lines, (count > 0) & (owner != _ids(part)[doc]), least, out)
 
     return run
 
 
+def _ids(part: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(NONE))
+
+
 def _kept(part: pa.RecordBatch, lines: list[list[str]], lost: np.ndarray, least: int, out: pa.Schema) -> pa.RecordBatch:
     text, total, dropped, at = [], [], [], 0
     for parts in lines:
@@ -226,40 +243,56 @@ def _routed(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             rows = batch.filter(file.is_null())
             if index is None or not rows.num_rows:
                 continue
-            ids = np.asarray(rows.column("doc_id").fill_null(NONE))
             h1, h2 = (np.asarray(rows.column(c)) for c in ("h1", "h2"))
             count, owner = index.probe(h1, h2)
-            lost = (count > 0) & (owner != ids)
-            yield emit({"doc_id": rows.column("doc_id").filter(pa.array(lost)), "h1": h1[lost]}, LOST)
+            lost = (count > 0) & (owner != _ids(rows))
+            yield emit({"doc_id": rows.column("doc_id").filter(pa.array(lost)), "key": _whole(h1[lost], h2[lost])}, LOST)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, probe_bytes: int = PROBE_BYTES) -> DataFrame:
+def _whole(h1: np.ndarray, h2: np.ndarray) -> list[bytes]:
+    raw = np.stack([h1, h2], axis=1).tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+
+def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, probe_bytes: int = PROBE_BYTES, hot_lines: int = HOT_LINES) -> DataFrame:
     """``docs`` with the lines that stay as ``text``, and n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     spark = docs.sparkSession
-    files, shards = build_index(docs, least_chars, least_docs)
+    files, shards, counted = build_index(docs, least_chars, least_docs)
     kept = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     out = pa.schema([*_arrow_schema(docs), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
     size = files.agg(F.sum(F.octet_length("file"))).first()[0] or 0
     if size <= probe_bytes:
         held = spark.sparkContext.broadcast([(r["shard"], bytes(r["file"])) for r in files.collect()])
         return docs.mapInArrow(_rewrite(held, shards, least_chars, out), kept)
-    hashes = docs.select("doc_id", "text").mapInArrow(_line_keys(least_chars), spark_ddl(KEYS))
+    hot = spark.sparkContext.broadcast(_hot_index(counted, hot_lines).to_bytes())
+    hashes = _own(docs).mapInArrow(_line_keys(least_chars, hot), spark_ddl(KEYS))
     hashes = hashes.select("doc_id", "h1", "h2", F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("binary").alias("file"))
     both = hashes.unionByName(files, allowMissingColumns=True).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("file").isNull())
-    lost = both.mapInArrow(_routed(shards), spark_ddl(LOST)).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h1").alias("_lost"))
+    lost = both.mapInArrow(_routed(shards), spark_ddl(LOST)).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_lost"))
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left").drop("_id")
-    return joined.mapInArrow(_rewrite_lost(least_chars, out), kept)
+    return joined.mapInArrow(_rewrite_lost(least_chars, hot, out), kept)
+
+
+def _hot_index(counted: DataFrame, hot_lines: int) -> LineIndex:
+    """An index of the at most ``hot_lines`` keys that have more than their part of all places."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.filter(F.col("n") * hot_lines > total).collect()
+    return LineIndex.build(*(np.array([r[c] for r in rows], np.int64) for c in ("h1", "h2", "n", "owner")))
 
 
-def _rewrite_lost(least: int, out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _rewrite_lost(least: int, hot, out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = LineIndex.from_bytes(hot.value)
         for part in slices(batches):
-            doc, h1, _, lines = _hashed(texts(part), least)
+            doc, h1, h2, lines = _hashed(texts(part), least)
+            count, owner = index.probe(h1, h2)
+            lost = (count > 0) & (owner != _ids(part)[doc])
             gone = [set(x or ()) for x in part.column("_lost").to_pylist()]
-            yield _kept(part, lines, np.array([h in gone[d] for d, h in zip(doc.tolist(), h1.tolist(), strict=True)], bool), least, out)
+            lost |= np.array([k in gone[d] for d, k in zip(doc.tolist(), _whole(h1, h2), strict=True)], bool)
+            yield _kept(part, lines, lost, least, out)
 
     return run
 

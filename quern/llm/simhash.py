@@ -109,7 +109,7 @@ def fingerprint(text: str, form: Form) -> tuple[bytes, bytes]:
 
 def fingerprints(docs: DataFrame, form: Form = EXACT) -> DataFrame:
     """doc_id, search and verify of every row of ``docs(doc_id, text)``."""
-    return docs.select("doc_id", "text").mapInArrow(_printing(form), spark_ddl(PRINTS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_printing(form), spark_ddl(PRINTS))
 
 
 def _printing(form: Form) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

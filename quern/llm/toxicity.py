@@ -132,37 +132,43 @@ def contexts(raw: bytes) -> np.ndarray:
     return out
 
 
+def occurrences(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different strings of texts, sorted, and how often each occurs."""
+    strings, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(texts_), 250):
+        new, n = np.unique(np.concatenate([grams(t) for t in texts_[at : at + 250]]), return_counts=True)
+        both = np.concatenate([strings, new])
+        order = np.argsort(both, kind="stable")
+        first = np.flatnonzero(np.diff(both[order], prepend=both[order][:1] + np.uint64(1)))
+        strings, many = both[order][first], np.add.reduceat(np.concatenate([many, n])[order], first) if len(first) else many
+    return strings, many
+
+
 def unexplained(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """The runs of toxic texts made of strings that stand in many contexts there and that ordinary texts hardly have.
 
     Copies of a text add no contexts.
     """
-    own = [grams(t) for t in toxic]
-    seen = np.zeros(0, np.uint64)  # a number of each string and context
+    strings, often = occurrences(toxic)
+    known, plain = occurrences(ordinary)
+    share = int(often.sum()) / max(1, int(often.sum() + plain.sum()))
+    least = max(LEAST_CONTEXTS, LEAST_PART * len(toxic))
+    place = np.minimum(np.searchsorted(known, strings), max(0, len(known) - 1))
+    there = np.where(known[place] == strings, plain[place], 0) if len(known) else np.zeros(len(strings), np.int64)
+    may = (often >= least) & (often >= LEAST_RATIO * (often + there))  # contexts are no more than occurrences
+    strings, there = strings[may], there[may]
     held = []
-    for at in range(0, len(toxic), 500):
-        g = np.concatenate(own[at : at + 500])
-        with np.errstate(over="ignore"):
-            both = g * np.uint64(0x9E3779B97F4A7C15) ^ np.concatenate([contexts(t) for t in toxic[at : at + 500]]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        both, first = np.unique(both, return_index=True)
-        new = ~np.isin(both, seen, assume_unique=True)
-        held.append(g[first[new]])
-        seen = np.concatenate([seen, both[new]])
-    strings, many = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-    often = many >= max(LEAST_CONTEXTS, LEAST_PART * len(toxic))
-    strings, many = strings[often], many[often]
-    plain, total = np.zeros(len(strings), np.int64), 0
-    for at in range(0, len(ordinary) if len(strings) else 0, 500):
-        g = grams(b"\n".join(ordinary[at : at + 500]))
-        total += len(g)
-        place = np.minimum(np.searchsorted(strings, g), len(strings) - 1)
-        plain += np.bincount(place[strings[place] == g], minlength=len(strings))
-    share = sum(map(len, own)) / max(1, total + sum(map(len, own)))
-    all_ = many + plain
-    telling = strings[(many >= LEAST_RATIO * all_) & (many - share * all_ >= LEAST_EXCESS * np.sqrt(all_ * share * (1 - share)))]
+    for raw in toxic:
+        g = grams(raw)
+        at = np.flatnonzero(np.isin(g, strings))
+        held.append(np.unique(np.stack([g[at], contexts(raw)[at]], axis=1), axis=0))
+    both = np.unique(np.concatenate([*held, np.zeros((0, 2), np.uint64)]), axis=0)
+    many = np.bincount(np.searchsorted(strings, both[:, 0]), minlength=len(strings))
+    all_ = many + there
+    telling = strings[(many >= least) & (many >= LEAST_RATIO * all_) & (many - share * all_ >= LEAST_EXCESS * np.sqrt(all_ * share * (1 - share)))]
     runs = []
-    for raw, g in zip(toxic, own, strict=True):
-        at = np.flatnonzero(np.isin(g, telling))
+    for raw in toxic:
+        at = np.flatnonzero(np.isin(grams(raw), telling))
         if len(at):
             cuts = np.flatnonzero(np.diff(at) > GRAM)
             runs += [raw[a : b + GRAM] for a, b in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, len(at) - 1)].tolist(), strict=True)]
@@ -182,8 +188,8 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
     foul, plain = sorted({lowered(t) for t in toxic}), sorted({lowered(t) for t in ordinary})
-    pieces = [t[i : i + 256] for t in plain for i in range(0, len(t), 256)]
-    return Dictionaries(trained(pieces, ORDINARY_BYTES, ORDINARY_SEGMENT), trained(unexplained(foul, plain), TOXIC_BYTES, TOXIC_SEGMENT))
+    telling = trained(unexplained(foul, plain), TOXIC_BYTES, TOXIC_SEGMENT)
+    return Dictionaries(trained([t[i : i + 256] for t in plain for i in range(0, len(t), 256)], ORDINARY_BYTES, ORDINARY_SEGMENT), telling)
 
 
 def measures(gains: list[np.ndarray]) -> tuple[np.ndarray, ...]:

@@ -16,7 +16,7 @@ from quern.llm import decontaminate, line_dedup, near_copies, simhash
 from quern.llm.exact_dedup import dedup_exact
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.pieces import PieceCodec, digest_pieces, encode_pieces
-from quern.llm.quality import score_quality
+from quern.llm.quality import DIAGONAL, NAMES, POOL, Discriminant, features, fit_quality, keep_good, score_quality, statistics
 from quern.llm.sharding import shard_documents
 from quern.llm.simhash import near_groups
 from quern.llm.token_counts import count_tokens
@@ -149,13 +149,13 @@ def lines_want(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("probe_bytes", [1 << 30, 0])
-def test_line_dedup(spark, docs, probe_bytes, monkeypatch):
+@pytest.mark.parametrize(("probe_bytes", "hot_lines"), [(1 << 30, 100), (0, 100), (0, 10_000), (0, 1)])
+def test_line_dedup(spark, docs, probe_bytes, hot_lines, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
     r = random.Random(4)
     pool = [f"this is the repeated line number {k}" + " É" * (k % 3) for k in range(80)] + ["short", "", "exactly twenty chars"]
     rows = ROWS + [(1000 + i, "\n".join(r.choice((str.upper, str, lambda s: f" \t{s}\r"))(r.choice(pool)) for _ in range(r.randint(0, 9)))) for i in range(90)]
-    out = dedup_lines(table(spark, rows), probe_bytes=probe_bytes)
+    out = dedup_lines(table(spark, rows), probe_bytes=probe_bytes, hot_lines=hot_lines)
     assert by_rows(out, "doc_id", "text", "n_lines", "n_dropped") == lines_want(rows)
     assert set(out.columns) == {*table(spark, []).columns, "n_dropped"}
     assert dedup_lines(docs.limit(0), probe_bytes=probe_bytes).count() == 0
@@ -410,3 +410,54 @@ def test_query_digests(spark, tmp_path):
             assert len(got) == len(rows), name
         if name == "op5_sharding":
             assert all(x["text_crc32"] == zlib.crc32((dict(rows)[x["doc_id"]] or "").encode()) and x["law"] == "bytes" and x["grown_shard"] is None for x in got)
+
+
+def test_operators_take_int_ids(spark):
+    rows = [(1, "one line of more than twenty letters"), (2, "one line of more than twenty letters"), (None, "one line of more than twenty letters\nand more"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    bench = spark.createDataFrame([(7, "one line of more than twenty letters")], "item_id int, text string")
+    for probe_bytes in (1 << 30, 0):
+        out = dedup_lines(docs, probe_bytes=probe_bytes)
+        assert out.schema["doc_id"].dataType.typeName() == "integer"
+        assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in out.collect()) == [(0, 1), (1, 1), (2, 0), (2, 0)]
+    assert near_groups(docs).count() == near_groups(docs, simhash.NEAR).count() == 4
+    assert decontaminate.find_contaminated(docs, bench).count() == 3
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+    assert decontaminate.find_contaminated(docs, bench, least_words=8).count() == 0
+    assert shard_documents(docs, 2).count() == dedup_exact(docs).count() == 4
+
+
+def test_quality_is_the_discriminant_computed_naively(spark):
+    texts, labels = labelled(spark, "quality", 200)
+    rows = {r["doc_id"]: np.array(statistics(r["text"])) for r in texts.collect()}
+    want = defaultdict(list)
+    for r in labels.collect():
+        want[r["quality"]].append(rows[r["doc_id"]])
+    model = fit_quality(features(texts), labels)
+    n = {y: len(v) for y, v in want.items()}
+    cov = {y: np.cov(np.array(v).T, bias=True) for y, v in want.items()}
+    x = np.array(list(rows.values()))
+    plain = Discriminant.fit([float(n[y]) for y in (0, 1)], [np.sum(want[y], axis=0) for y in (0, 1)], [np.array(want[y]).T @ np.array(want[y]) for y in (0, 1)])
+    assert np.allclose(model.log_ratio(x), plain.log_ratio(x), atol=1e-5)
+    for y in (0, 1):
+        assert np.allclose(model.means[y], np.mean(want[y], axis=0))
+        assert cov[y].shape == (len(NAMES), len(NAMES)) and 0 < POOL < 1 and 0 < DIAGONAL < 1
+    good = {r["doc_id"] for r in keep_good(texts, labels, 0.5).collect()}
+    scored = {r["doc_id"]: r["score"] for r in score_quality(texts, labels).collect()}
+    assert good == {i for i, s in scored.items() if s >= 0.5} and 80 <= len(good) <= 120
+
+
+def test_shards_keep_equal_texts_together_within_the_tolerance(spark):
+    r = random.Random(2)
+    rows = [(i, "x" * r.randint(0, 60) + str(r.randint(0, 40))) for i in range(3000)] + [(5000 + i, "a hot text of a third of all rows") for i in range(1500)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    total = sum(x["size"] for x in got)
+    size, shards, slots = defaultdict(int), defaultdict(set), defaultdict(list)
+    for x in got:
+        size[x["shard"]] += x["size"]
+        shards[x["text"]].add(x["shard"])
+        slots[x["shard"]].append(x["slot"])
+    assert all(abs(v - total / 8) <= 0.02 * total / 8 + 100 for v in size.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    torn = [t for t, s in shards.items() if len(s) > 1]
+    assert all(sum(len(x["text"]) + 1 for x in got if x["text"] == t) > 0.01 * total / 8 for t in torn)

@@ -55,10 +55,10 @@ def test_unexplained_runs_by_brute_force(monkeypatch):
         padded = b"    " + t + b"    "
         for i in range(len(t) - n + 1):
             where[t[i : i + n]].add((padded[i : i + 4], padded[i + 4 + n : i + 8 + n]))
-    joined = b"\n".join(plain)
-    for i in range(len(joined) - n + 1):
-        known[joined[i : i + n]] += 1
-    all_toxic, all_plain = sum(max(0, len(t) - n + 1) for t in toxic), len(joined) - n + 1
+    pieces = [p[i : i + n] for p in plain for i in range(len(p) - n + 1)]
+    for s in pieces:
+        known[s] += 1
+    all_toxic, all_plain = sum(max(0, len(t) - n + 1) for t in toxic), len(pieces)
     share, good = all_toxic / (all_toxic + all_plain), set()
     for s, found in where.items():
         a, both = len(found), len(found) + known[s]
