@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import emit, slices, spark_ddl, texts
-from quern.plans.staging import cut
+from quern.plans.staging import cut, release
 
 NONE = -(1 << 63)
-#: Texts of the sample that counts shingles: one in so many, but this number at least.
-SAMPLE_PART, SAMPLE_LEAST = 16, 20_000
+#: The sample that counts shingles holds one text in so many.
+SAMPLE_PART = 4
 #: A shingle in so many texts of the sample is listed as common, up to so many shingles.
-COMMON, LISTED = 4, 500_000
+COMMON, LISTED = 2, 2_000_000
 #: Candidate pairs formed at once.
 PAIRS = 1_000_000
 
@@ -80,8 +80,7 @@ def _hashing(form: Similar) -> Callable[[Batches], Batches]:
 
 def common_shingles(docs: DataFrame, form: Similar) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes that a sample of ``docs`` has in many texts, and how many."""
-    n = max(1, min(SAMPLE_PART, docs.count() // SAMPLE_LEAST))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0).select("text")
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PART)) == 0).select("text")
     counted = sample.mapInArrow(_hashing(form), spark_ddl(HASHES)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     found = counted.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(LISTED).toArrow()
     keys = np.asarray(found.column("key").combine_chunks()).view(np.uint64)
@@ -250,7 +249,9 @@ def _confirmed(met: DataFrame, docs: DataFrame, form: Similar) -> DataFrame:
     left = own.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(own, F.col("b") == F.col("id")).select("a", "b", "text")
     both = left.unionByName(right).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return cut(both.mapInArrow(_confirming(form), spark_ddl(LINKS)), "near-links")
+    links = cut(both.mapInArrow(_confirming(form), spark_ddl(LINKS)), "near-links")
+    release(pairs)
+    return links
 
 
 def similar_groups(docs: DataFrame, form: Similar, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -266,7 +267,10 @@ def similar_groups(docs: DataFrame, form: Similar, components: Callable[[DataFra
     rooted = shared.join(roots, "node", "left").select(*ROWS.names, F.coalesce("root", "node").alias("root"))
     met = rooted.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_pairing(form), spark_ddl(MET))
     links = _confirmed(met, docs, form).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    release(shared)
     roots = components(links)
     named = sets.groupBy("digest").agg(F.min("doc_id").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     doc_id = F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id")
-    return sets.join(named, "digest").select(doc_id, F.lower(F.hex("digest")).alias("fingerprint"), "component_id")
+    out = cut(sets.join(named, "digest").select(doc_id, F.lower(F.hex("digest")).alias("fingerprint"), "component_id"), "near-groups")
+    release(sets)
+    return out

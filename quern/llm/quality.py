@@ -19,15 +19,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.arrow import emit, slices, spark_ddl, texts
 from quern.llm.toxicity import logistic
-from quern.plans.staging import cut
+from quern.plans.staging import cut, release
 
 #: Weight of the pooled covariance and of the diagonal in a class covariance.
 POOL, DIAGONAL = 0.1, 0.05
@@ -79,17 +77,6 @@ def _measuring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit({"doc_id": part.column("doc_id"), "x": [statistics(t) for t in texts(part)]}, FEATURES)
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with their statistics as the last column, ``_x``, in the shared folder."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_x", T.ArrayType(T.DoubleType()))])
-    return cut(docs.mapInArrow(_adding, schema), "measured")
-
-
-def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        yield part.append_column("_x", pa.array([statistics(t) for t in texts(part)], pa.list_(pa.float64())))
-
-
 @dataclass
 class Discriminant:
     means: list[np.ndarray]
@@ -160,15 +147,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_RO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Rows of ``docs`` whose text scores at least ``least``, as learnt from ``labels(doc_id, quality)``; texts are measured once."""
-    measured = with_features(docs)
-    model = fit_quality(measured.select("doc_id", F.col("_x").alias("x")), labels)
-
-    @F.pandas_udf("boolean")
-    def good(x: pd.Series) -> pd.Series:
-        return pd.Series(_ratios(model, np.stack(x.to_numpy()))[0] >= least) if len(x) else pd.Series([], dtype=bool)
-
-    return measured.filter(good("_x")).drop("_x")
+    """Rows of ``docs`` whose text scores at least ``least``, as learnt from ``labels(doc_id, quality)``; only labelled texts are measured for the fit."""
+    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    measured = cut(features(known), "features")
+    model = fit_quality(measured, labels)
+    release(measured)
+    return docs.mapInArrow(_keeping(model, least), docs.schema)
 
 
 def _ratios(model: Discriminant | float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,3 +170,12 @@ def _scoring(model: Discriminant | float) -> Callable[[Iterator[pa.RecordBatch]]
             yield emit({"doc_id": batch.column("doc_id"), "score": score, "log_ratio": ratio}, SCORED)
 
     return run
+
+
+def _keeping(model: Discriminant | float, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            x = np.array([statistics(t) for t in texts(part)]).reshape(part.num_rows, len(NAMES))
+            yield part.filter(pa.array(_ratios(model, x)[0] >= least))
+
+    return run
