@@ -12,6 +12,7 @@ from quern.functions import dates
 from quern.functions.elementwise import BINARY, UNARY, reduce_columns, zip_columns
 from quern.functions.expressions import translate
 from quern.operators import filters, groups, joins, linear, stats
+from quern.operators.computed import UNCHANGED, Computed, if_else
 from quern.operators.groups import Part
 from quern.plans import pipeline
 from quern.sources import readers
@@ -69,12 +70,14 @@ ORACLE_SQL["heatmap"] = """
 
 @query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_shipdate >= timestamp '1998-06-01'")
 def parquet_filtered(t, spark):
-    return t("lineitem").filter("l_shipdate >= timestamp_ntz '1998-06-01'").select("l_orderkey", "l_linenumber", "l_quantity").na.drop("any")
+    path = t("lineitem").inputFiles()
+    return readers.read_parquet(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"], "l_shipdate >= timestamp_ntz '1998-06-01'")
 
 
 @query("select count(*) as n, count(*) filter (where o_orderstatus = 'F') as finished from orders")
 def counts(t, spark):
-    return t("orders").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    done = stats.count(t("orders").filter("o_orderstatus = 'F'")).withColumnRenamed("count", "finished")
+    return stats.count(t("orders")).withColumnRenamed("count", "n").crossJoin(done)
 
 
 @query("select o_orderkey, o_totalprice, cast(row_number() over (order by o_orderkey) - 1 as bigint) as _rid from orders")
@@ -84,7 +87,8 @@ def row_ids(t, spark):
 
 @query("select c_custkey, round(c_acctbal, 2) as balance, cast(c_nationkey as double) as nation from customer")
 def as_array(t, spark):
-    v = t("customer").select("c_custkey", F.array(F.round("c_acctbal", 2), F.col("c_nationkey").cast("double")).alias("v"))
+    flat = t("customer").select("c_custkey", F.round("c_acctbal", 2).alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+    v = readers.finish(flat, as_array={"v": ["a", "b"]})
     return v.select("c_custkey", F.col("v")[0].alias("balance"), F.col("v")[1].alias("nation"))
 
 
@@ -170,9 +174,9 @@ def join_outer(t, spark):
     return joins.join(t("orders"), some, primary_on="c_custkey", related_on="o_custkey", related_cols=["o_orderkey", "o_custkey"], primary_cols=["c_name"], how="outer", fillna="nobody")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 50 = 1)")
 def join_primary_outer(t, spark):
-    return joins.primary_outer(t("orders"), t("customer"), primary_on="c_custkey", related_on="o_custkey").select("c_custkey", "c_name")
+    return joins.primary_outer(t("orders").filter("o_orderkey % 50 = 1"), t("customer"), primary_on="c_custkey", related_on="o_custkey").select("c_custkey", "c_name")
 
 
 @query("with d as (select year(o_orderdate) y, month(o_orderdate) m, count(*) as orders_of_month from orders group by all) select l_orderkey, l_linenumber, orders_of_month from lineitem join d on year(l_shipdate) = y and month(l_shipdate) = m")
@@ -201,11 +205,11 @@ def combine_first(t, spark):
     return joins.combine_first(a, s.filter("s_suppkey % 3 = 0").select("s_suppkey", F.lit(-1.0).alias("v")), rid="s_suppkey")
 
 
-@query("select p_partkey from part where p_size > 20 intersect select p_partkey from part where p_retailprice > 1000 intersect select l_partkey from lineitem where l_quantity > 40")
+@query("select p_partkey from part where p_size > 20 intersect select p_partkey from part where p_partkey % 3 <> 0 intersect select l_partkey from lineitem where l_quantity > 40")
 def intersection(t, spark):
     p = t("part")
     hot = t("lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return joins.intersection(p.filter("p_size > 20").select("p_partkey"), p.filter("p_retailprice > 1000"), hot, rid="p_partkey")
+    return joins.intersection(p.filter("p_size > 20").select("p_partkey"), p.filter("p_partkey % 3 <> 0"), hot, rid="p_partkey")
 
 
 @query("select o_custkey as k, 'union' as s from (select o_custkey from orders where o_totalprice > 200000 union select c_custkey from customer where c_acctbal < 0) union all select c_custkey, 'minus' from (select c_custkey from customer where c_acctbal < 0 except select o_custkey from orders where o_totalprice > 200000) union all select k, 'xor' from ((select c_custkey k from customer where c_acctbal < 0 except select o_custkey from orders where o_totalprice > 200000) union all (select o_custkey from orders where o_totalprice > 200000 except select c_custkey from customer where c_acctbal < 0))")
@@ -476,3 +480,106 @@ def compacted_changes(t, spark):
     op = F.when(F.col("event_id") % 17 == 0, "D").when(F.col("event_id") < 100, "C").otherwise("U")
     log = t("events").select((F.col("event_id") % 100).alias("_rid"), op.alias("_op"), F.col("event_id").alias("_run"), "value")
     return changes.compact(log, ["value"])
+
+
+# Functions at the edges of their ranges, and those that the queries above leave out.
+
+_EDGES = "(0.0::double), (-0.0::double), ('inf'::double), ('-inf'::double), ('nan'::double), (2.5::double), (-2.5::double), (1e300::double), (-1e300::double)"
+_E_SQL = {"signbit": "signbit(a)", "isinf": "isinf(a)", "isnan": "isnan(a)", "isfinite": "isfinite(a)", "isnat": "a is null", "logical_not": "a = 0"}
+_EW_SQL = {"ceil": "ceil(a)", "floor": "floor(a)", "trunc": "trunc(a)", "rint": "round_even(a, 0)", "abs": "abs(a)", "negative": "-a", "conjugate": "a", "reciprocal": "case when a = 0 then case when signbit(a) then '-inf'::double else 'inf'::double end else 1 / a end", "square": "a * a"}
+_shown = lambda sql: f"case when isnan({sql}) then 'nan' when isinf({sql}) then case when {sql} > 0 then 'inf' else '-inf' end else format('{{:.6e}}', {sql} + 0.0) end"
+
+
+def _edges(t):
+    """The edge values as doubles, each with its place."""
+    cells = ["0.0", "-0.0", "Infinity", "-Infinity", "NaN", "2.5", "-2.5", "1e300", "-1e300"]
+    return t("region").limit(1).select(F.posexplode(F.array(*(F.lit(c).cast("double") for c in cells))).alias("place", "a"))
+
+
+def _text(c):
+    """A double as text that both engines write alike."""
+    return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(F.format_string("%.6e", c + F.lit(0.0)))
+
+
+@query("select cast(place as int) as place, " + ", ".join([f"{s} as {n}" for n, s in _E_SQL.items()] + [f"{_shown('(' + s + ')')} as {n}" for n, s in _EW_SQL.items()]) + f" from (select (row_number() over ()) - 1 as place, a from (values {_EDGES}) v(a))")
+def unary_functions_at_edges(t, spark):
+    return _edges(t).select("place", *(UNARY[n](F.col("a")).alias(n) for n in _E_SQL), *(_text(UNARY[n](F.col("a"))).alias(n) for n in _EW_SQL))
+
+
+@query(f"select cast(p.place as int) as p, cast(q.place as int) as q, case when signbit(q.a) then {_shown('(-abs(p.a))')} else {_shown('(abs(p.a))')} end as copysign, p.a = q.a and not isnan(p.a) as equal from (select row_number() over () - 1 as place, a from (values {_EDGES}) v(a)) p, (select row_number() over () - 1 as place, a from (values {_EDGES}) v(a)) q")
+def binary_functions_at_edges(t, spark):
+    p = _edges(t).select(F.col("place").alias("p"), F.col("a"))
+    q = _edges(t).select(F.col("place").alias("q"), F.col("a").alias("b"))
+    both = p.crossJoin(F.broadcast(q))
+    return both.select("p", "q", _text(BINARY["copysign"](F.col("a"), F.col("b"))).alias("copysign"), BINARY["equal"](F.col("a"), F.col("b")).alias("equal"))
+
+
+@query("select o_orderkey, ~o_orderkey as bitwise_not, ~o_orderkey as invert, round(radians(o_totalprice), 6) as radians, round(degrees(o_totalprice), 4) as rad2deg, round(o_totalprice - trunc(o_totalprice), 6) + 0.0 as fraction, trunc(o_totalprice) as whole, o_totalprice / pow(2, floor(log2(o_totalprice)) + 1) as mantissa, (floor(log2(o_totalprice)) + 1)::int as exponent, pow(2, floor(log2(o_totalprice)) - 52) as spacing, o_totalprice + pow(2, floor(log2(o_totalprice)) - 52) as nextafter, floor(o_totalprice / 7) as quotient, round(o_totalprice - floor(o_totalprice / 7) * 7, 4) as remainder, round(o_totalprice / 1e4 + log2(1 + pow(2, 1 - o_totalprice / 1e4)), 6) as logaddexp2 from orders where o_totalprice > 10000")
+def functions_of_parts(t, spark):
+    a, k = F.col("o_totalprice"), F.col("o_orderkey")
+    rows = t("orders").filter("o_totalprice > 10000")
+    modf, frexp, divmod_ = UNARY["modf"](a), UNARY["frexp"](a), BINARY["divmod"](a, F.lit(7.0))
+    return rows.select(
+        k, UNARY["bitwise_not"](k).alias("bitwise_not"), UNARY["invert"](k).alias("invert"), F.round(UNARY["radians"](a), 6).alias("radians"), F.round(UNARY["rad2deg"](a), 4).alias("rad2deg"),
+        (F.round(modf["fraction"], 6) + F.lit(0.0)).alias("fraction"), modf["whole"].alias("whole"), frexp["mantissa"].alias("mantissa"), frexp["exponent"].alias("exponent"),
+        UNARY["spacing"](a).alias("spacing"), BINARY["nextafter"](a, F.lit(float("inf"))).alias("nextafter"), divmod_["quotient"].alias("quotient"), F.round(divmod_["remainder"], 4).alias("remainder"),
+        F.round(BINARY["logaddexp2"](a / 1e4, F.lit(1.0)), 6).alias("logaddexp2"),
+    )
+
+
+_C_SQL = {**{n: f"sum({s})" for n, s in _B_SQL.items()}, **{n: f"count(*) filter (where {s})::double" for n, s in _B_BOOL.items()}, **{n: f"sum({s.replace('a', 'i').replace('b', 'j') if n not in ('gcd', 'lcm', 'bitwise_xor') else {'gcd': 'gcd(i, j)', 'lcm': 'lcm(i, j)', 'bitwise_xor': 'xor(i, j)'}[n]})::double" for n, s in _I_SQL.items()}}
+
+
+@query(" union all ".join(f"select '{n}' as function, round({s}, 2) + 0.0 as total from (select p_size / 8 as a, p_partkey % 5 + 0.5::double as b, p_size::bigint as i, (p_partkey % 5 + 1)::bigint as j from part)" for n, s in _C_SQL.items()))
+def column_binary_functions(t, spark):
+    """Every function of two arguments over two columns of one table, summed up."""
+    k = F.col("p_partkey") % 5
+    x = t("part").select((F.col("p_size") / 8).alias("a"), (k + F.lit(0.5)).cast("double").alias("b"), F.col("p_size").cast("long").alias("i"), (k + 1).cast("long").alias("j"))
+    out = None
+    for n in _C_SQL:
+        pair = ("i", "j") if n in _I_SQL else ("a", "b")
+        one = zip_columns(x, n, [pair[0]], [pair[1]], ["v"]).agg(F.lit(n).alias("function"), F.round(F.sum(F.col("v").cast("double")), 2).alias("total"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_FOLDS = {"subtract": "a - b", "divide": "a / b", "true_divide": "a / b", "floor_divide": "floor(a / b)", "power": "pow(a, b)", "float_power": "pow(a, b)", "arctan2": "atan2(a, b)", "copysign": "abs(a)", "fmod": "a - trunc(a / b) * b", "mod": "a - floor(a / b) * b", "remainder": "a - floor(a / b) * b", "heaviside": "case when a < 0 then 0 when a = 0 then b else 1 end", "ldexp": "a * pow(2, b)", "equal": "(a = b)::int::double", "not_equal": "(a <> b)::int::double", "greater": "(a > b)::int::double", "greater_equal": "(a >= b)::int::double", "less": "(a < b)::int::double", "less_equal": "(a <= b)::int::double"}
+
+
+@query(" union all ".join(f"select '{n}' as function, round(list_reduce(list(v order by r_regionkey), lambda a, b: {s}), 6) + 0.0 as value from (select r_regionkey, 1.25::double + r_regionkey / 8 as v from region)" for n, s in _FOLDS.items()))
+def ordered_folds(t, spark):
+    x = t("region").select("r_regionkey", (F.lit(1.25) + F.col("r_regionkey") / 8).alias("v"))
+    out = None
+    for n in _FOLDS:
+        one = reduce_columns(x, n, ["v"], order="r_regionkey").select(F.lit(n).alias("function"), F.round(F.col("v"), 6).alias("value"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("select 'logical_and' as function, bool_and(p_size <> 0) as value from part union all select 'logical_or', bool_or(p_size <> 0) from part union all select 'logical_xor', count(*) filter (where p_size <> 0) % 2 = 1 from part")
+def logical_reductions(t, spark):
+    out = None
+    for n in ("logical_and", "logical_or", "logical_xor"):
+        one = reduce_columns(t("part").select("p_size"), n, ["p_size"]).select(F.lit(n).alias("function"), F.col("p_size").alias("value"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("select p_partkey, case when p_size > 25 then 25 else p_size end as capped, sqrt(p_size) as root, p_size + 2 * p_partkey as mixed, case when p_retailprice > 905 then 'dear' else 'cheap' end as kind from part")
+def computed_columns(t, spark):
+    made = Computed()
+    made.add_function("capped", if_else(">", 25, 25, UNCHANGED), "p_size")
+    made.add_function("root", "sqrt", "p_size")
+    made.add_expression("mixed", "p_size + 2 * p_partkey")
+    made.add_function("kind", if_else(">", 905, "dear", "cheap"), "p_retailprice")
+    return made.repeat(t("part")).select("p_partkey", "capped", "root", "mixed", "kind")
+
+
+@query("select p_partkey, p_size from part where p_size > 20 and p_size * 2 < 90")
+def evaluated(t, spark):
+    return filters.evaluate(t("part").select("p_partkey", "p_size"), "(p_size > 20) & (p_size * 2 < 90)")
+
+
+@query("select x.id as p_partkey from range(1, 500) x(id) where x.id not in (select p_partkey from part where p_size > 20) union all select p_partkey from part where p_size > 20 and (p_partkey >= 500 or p_partkey < 1)")
+def flipped_ids(t, spark):
+    return joins.flip(t("part").filter("p_size > 20").select(F.col("p_partkey").cast("long").alias("p_partkey")), 1, 500, rid="p_partkey")

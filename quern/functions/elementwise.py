@@ -2,14 +2,15 @@
 
 Every function is a native expression, so it stays in generated code; only those without a
 counterpart (``frexp``, ``spacing``, ``nextafter``) use Arrow-batched pandas UDFs.  Guards
-make division by zero, logarithms of zero and NaN behave as IEEE arithmetic does.
+make division by zero, signed zeros, infinities, numbers too large for a long, logarithms
+of zero and NaN behave as IEEE arithmetic does.
 """
 
-from functools import reduce as fold
-from math import gcd as _gcd
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,19 @@ def _log(f, pivot: float = 0.0):
 
 
 def _whole(f):
-    return lambda a: F.when(_wild(a.cast("double")), a.cast("double")).otherwise(f(a).cast("double"))
+    # From 2^52 on every double is whole, and beyond 2^63 none fits the long that Spark rounds to.
+    return lambda a: F.when(_wild(a.cast("double")) | (F.abs(a.cast("double")) >= 2.0**52), a.cast("double")).otherwise(f(a).cast("double"))
+
+
+def _minus(a: Column) -> Column:
+    """True for negative numbers and for the negative zero, which compares as zero."""
+    return F.when(a == 0, a.cast("double").cast("string") == "-0.0").otherwise(a < 0)
+
+
+def _signed(value: Column, *signs: Column) -> Column:
+    """A value that is negated once for each negative number."""
+    odd = _minus(signs[0]) if len(signs) == 1 else _minus(signs[0]) != _minus(signs[1])
+    return F.when(odd, -value).otherwise(value)
 
 
 def _not(a: Column) -> Column:
@@ -69,13 +82,15 @@ def _trunc(a: Column) -> Column:
 
 def divide(a: Column, b: Column) -> Column:
     a, b = a.cast("double"), b.cast("double")
-    return F.when(F.isnan(a) | F.isnan(b) | ((a == 0) & (b == 0)), nan()).when(b == 0, F.signum(a) * inf()).otherwise(F.try_divide(a, b))
+    return F.when(F.isnan(a) | F.isnan(b) | ((a == 0) & (b == 0)), nan()).when(b == 0, _signed(inf(), a, b)).otherwise(F.try_divide(a, b))
 
 
 def floor_divide(a: Column, b: Column) -> Column:
     a, b = a.cast("double"), b.cast("double")
-    at_zero = F.when(a == 0, nan()).otherwise(F.signum(a) * inf())
-    return F.when(F.isnan(a) | F.isnan(b), nan()).when(b == 0, at_zero).when(F.abs(a) == inf(), nan()).otherwise(F.floor(F.try_divide(a, b)).cast("double"))
+    at_zero = F.when(a == 0, nan()).otherwise(_signed(inf(), a, b))
+    far = F.when(a == 0, _signed(F.lit(0.0), a, b)).when(_minus(a) != _minus(b), F.lit(-1.0)).otherwise(F.lit(0.0))
+    plain = _whole(F.floor)(F.try_divide(a, b))
+    return F.when(F.isnan(a) | F.isnan(b), nan()).when(b == 0, at_zero).when(F.abs(a) == inf(), nan()).when(F.abs(b) == inf(), far).otherwise(plain)
 
 
 def mod(a: Column, b: Column) -> Column:
@@ -85,7 +100,24 @@ def mod(a: Column, b: Column) -> Column:
 
 
 def _power(a: Column, b: Column) -> Column:
-    return F.when(a == 1, F.lit(1.0)).otherwise(F.pow(a, b))
+    return F.when((a == 1) | ((a == -1) & (F.abs(b.cast("double")) == inf())), F.lit(1.0)).otherwise(F.pow(a, b))
+
+
+def _arctan2(a: Column, b: Column) -> Column:
+    a, b = a.cast("double"), b.cast("double")
+    return F.when((a == 0) & ~F.isnan(b), F.when(_minus(b), _signed(F.lit(np.pi), a)).otherwise(a)).otherwise(F.atan2(a, b))
+
+
+def _modf(a: Column) -> Column:
+    a = a.cast("double")
+    endless = F.abs(a) == inf()
+    return F.struct(F.when(endless | (a == 0), _signed(F.lit(0.0), a)).otherwise(a % 1).alias("fraction"), F.when(endless, a).otherwise(a - a % 1).alias("whole"))
+
+
+def _ldexp(a: Column, b: Column) -> Column:
+    """In two steps, as 2^b alone may be out of range where the result is not."""
+    half = F.floor(b / 2)
+    return F.when(a == 0, a).otherwise(a * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), b - half))
 
 
 def _logaddexp(a: Column, b: Column, base: float | None = None) -> Column:
@@ -141,15 +173,15 @@ UNARY = {
     "log1p": _log(F.log1p, -1.0),
     "log2": _log(F.log2),
     "logical_not": _not,
-    "modf": lambda a: F.struct((a % 1).alias("fraction"), (a - a % 1).alias("whole")),
+    "modf": _modf,
     "negative": lambda a: -a,
     "positive": lambda a: a,
     "rad2deg": F.degrees,
     "radians": F.radians,
-    "reciprocal": lambda a: F.when(a == 0, inf()).otherwise(F.try_divide(F.lit(1.0), a)),
+    "reciprocal": lambda a: F.when(a == 0, _signed(inf(), a)).otherwise(F.try_divide(F.lit(1.0), a)),
     "rint": F.rint,
     "sign": F.signum,
-    "signbit": lambda a: a < 0,
+    "signbit": _minus,
     "sin": F.sin,
     "sinh": F.sinh,
     "spacing": _spacing,
@@ -164,11 +196,11 @@ UNARY = {
 #: The 40 functions of two arguments.
 BINARY = {
     "add": lambda a, b: a + b,
-    "arctan2": F.atan2,
+    "arctan2": _arctan2,
     "bitwise_and": lambda a, b: a.bitwiseAND(b),
     "bitwise_or": lambda a, b: a.bitwiseOR(b),
     "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
-    "copysign": lambda a, b: F.when(b < 0, -F.abs(a)).otherwise(F.abs(a)),
+    "copysign": lambda a, b: _signed(F.abs(a), b),
     "divide": divide,
     "divmod": lambda a, b: F.struct(floor_divide(a, b).alias("quotient"), mod(a, b).alias("remainder")),
     "equal": lambda a, b: (a == b) & ~F.isnan(a.cast("double")),
@@ -183,7 +215,7 @@ BINARY = {
     "heaviside": lambda a, b: F.when(F.isnan(a), a).when(a < 0, F.lit(0.0)).when(a == 0, b).otherwise(F.lit(1.0)),
     "hypot": F.hypot,
     "lcm": lcm,
-    "ldexp": lambda a, b: a * F.pow(F.lit(2.0), b),
+    "ldexp": _ldexp,
     "left_shift": lambda a, b: F.call_function("shiftleft", a, b.cast("int")),
     "less": lambda a, b: (a < b) & ~F.isnan(b.cast("double")),
     "less_equal": lambda a, b: (a <= b) & ~F.isnan(b.cast("double")),
@@ -232,7 +264,9 @@ FREE_REDUCE = {
     "multiply": F.product,
 }
 _TWO_STEP = {"logaddexp": _sum_exp(None), "logaddexp2": _sum_exp(2.0)}
-_INTEGER = {"gcd": (_gcd, 0), "lcm": (lambda a, b: abs(a * b) // _gcd(a, b) if a and b else 0, 1)}
+_INTEGER = {"gcd": (np.gcd, 0), "lcm": (np.lcm, 1)}
+#: Folds that are the first value and a free reduction of the others.
+_FIRST = {"subtract": (F.sum, lambda a, rest: a - F.coalesce(rest, F.lit(0.0))), "divide": (F.product, divide), "true_divide": (F.product, divide)}
 
 
 def unary(name: str, a: Column | str) -> Column:
@@ -281,24 +315,43 @@ def reduce_columns(df: DataFrame, name: str, columns: list[str], order: str | No
         most = df.agg(*(F.max(c).alias(f"_m_{c}") for c in columns))
         return df.crossJoin(F.broadcast(most)).agg(*(_TWO_STEP[name](F.col(c), F.col(f"_m_{c}")).alias(c) for c in columns))
     if name in _INTEGER:
-        f, start = _INTEGER[name]
-
-        @F.pandas_udf("long")
-        def whole(x: pd.Series) -> int:
-            return int(fold(f, (int(v) for v in x.unique()), start))
-
-        parts = df.groupBy(F.spark_partition_id().alias("_p")).agg(*(whole(F.col(c)).alias(c) for c in columns))
-        return parts.agg(*(whole(F.col(c)).alias(c) for c in columns))
+        parts = df.select(*(F.col(c).cast("long").alias(c) for c in columns))
+        folded = _folding(*_INTEGER[name], columns)
+        return parts.mapInArrow(folded, parts.schema).coalesce(1).mapInArrow(folded, parts.schema)
     if name not in BINARY:
         raise KeyError(name)
     if order is None:
         raise ValueError(f"{name} is a fold; name the column that orders it")
+    if name in _FIRST:
+        return _first_and_rest(df, name, columns, order)
     op = BINARY[name]
     step = lambda acc, y: F.when(acc.isNull(), y).otherwise(op(acc, y).cast("double"))
     values = {c: F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).cast("double").alias("x")))), lambda s: s["x"]) for c in columns}
     return df.agg(*(F.aggregate(v, F.lit(None).cast("double"), step).alias(c) for c, v in values.items()))
 
 
+def _folding(f: np.ufunc, start: int, columns: list[str]):
+    """One row for each partition: its columns folded batch by batch, with 64 bits as NumPy does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.full(len(columns), start, np.int64)
+        for batch in batches:
+            for k, c in enumerate(columns):
+                held[k] = f(held[k], f.reduce(np.unique(np.asarray(batch.column(c).drop_null())), initial=start))
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in held], names=columns)
+
+    return run
+
+
+def _first_and_rest(df: DataFrame, name: str, columns: list[str], order: str) -> DataFrame:
+    of_rest, joined = _FIRST[name]
+    first = df.agg(F.min(order).alias("_least"), *(F.min_by(F.col(c).cast("double"), order).alias(f"_first_{c}") for c in columns))
+    both = df.crossJoin(F.broadcast(first))
+    rest = both.agg(*(F.first(f"_first_{c}").alias(f"_first_{c}") for c in columns), *(of_rest(F.when(F.col(order) > F.col("_least"), F.col(c).cast("double"))).alias(c) for c in columns))
+    empty = F.lit(1.0) if of_rest is F.product else F.lit(0.0)
+    return rest.select(*(joined(F.col(f"_first_{c}"), F.coalesce(F.col(c), empty)).alias(c) for c in columns))
+
+
 def running(df: DataFrame, column: str, order: str, by: list[str] | None = None) -> DataFrame:
     """Running sum of a column, for the folds that are sums."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -204,14 +204,22 @@ def _all():
 # Quantiles.
 
 
+#: Different values of a column that one task may hold with their counts.
+DISTINCT = 1_000_000
+
+
 def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
     """quantile, and its exact value in each column.
 
-    Each column keeps one table of its distinct values and their counts; for columns with
-    very many distinct values use :func:`sketch` or :func:`quantile_by_counting`.
+    Values are counted first, so that a column of few different ones takes one pass with
+    partial sums; columns with more than ``DISTINCT`` of them go by :func:`quantile_by_counting`.
     """
-    found = df.agg(*(F.percentile(clean(df, c), F.array(*map(F.lit, at))).alias(c) for c in columns))
-    cells = F.array(*(F.struct(F.lit(q).alias("quantile"), *(F.get(F.col(c), F.lit(i)).alias(c) for c in columns)) for i, q in enumerate(at)))
+    few = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first().asDict()
+    small = [c for c in columns if few[c] <= DISTINCT]
+    found = df.agg(F.lit(0).alias("_all"), *(F.percentile(clean(df, c), F.array(*map(F.lit, at))).alias(c) for c in small))
+    large = {c: [quantile_by_counting(df, c, q) for q in at] for c in columns if c not in small}
+    value = lambda c, i: F.get(F.col(c), F.lit(i)) if c in small else F.lit(large[c][i]).cast("double")
+    cells = F.array(*(F.struct(F.lit(q).alias("quantile"), *(value(c, i).alias(c) for c in columns)) for i, q in enumerate(at)))
     return found.select(F.inline(cells))
 
 
@@ -270,11 +278,11 @@ def sketch_pmf(sketched: DataFrame, splits: list[float]) -> DataFrame:
 
 def imputed(df: DataFrame, strategies: dict[str, str | tuple[str, object]]) -> DataFrame:
     """Missing and NaN cells replaced by the mean, median, most_frequent value or a constant of their column."""
-    f = {"mean": F.avg, "median": F.median, "most_frequent": lambda c: F.mode(c, True)}
-    learnt = {c: s for c, s in strategies.items() if isinstance(s, str)}
-    if learnt:
-        row = df.agg(*(f[s](clean(df, c)).alias(c) for c, s in learnt.items())).first().asDict()
-    fills = {c: row[c] if c in learnt else s[1] for c, s in strategies.items()}
+    f = {"mean": F.avg, "most_frequent": lambda c: F.mode(c, True)}
+    learnt = {c: s for c, s in strategies.items() if s in f}
+    row = df.agg(*(f[s](clean(df, c)).alias(c) for c, s in learnt.items())).first().asDict() if learnt else {}
+    row |= {c: quantile_by_counting(df, c, 0.5) for c, s in strategies.items() if s == "median"}
+    fills = {c: row[c] if isinstance(s, str) else s[1] for c, s in strategies.items()}
     return df.withColumns({c: F.coalesce(clean(df, c), F.lit(v)) for c, v in fills.items()})
 
 

@@ -2,8 +2,8 @@
 
 An iterative operator writes each step with :func:`cut` and reads it again, so a
 lost executor costs one step and not the whole history.  The folder is the one the
-cluster names in ``spark.checkpoint.dir``; only when that is unset (tests, notebooks)
-is one made for the session.
+cluster names in ``spark.checkpoint.dir``; only when that is unset and driver and executors
+are one process (tests, notebooks) is one made for the session.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share for this session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

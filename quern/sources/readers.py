@@ -47,6 +47,11 @@ def _finish(df: DataFrame, columns, filter_, fillvalues, as_array, nrows, order)
     return (df.orderBy(order) if order else df).limit(nrows) if nrows is not None else df
 
 
+def finish(df: DataFrame, columns=None, filter_=None, fillvalues=None, as_array=None, nrows=None, order=None) -> DataFrame:
+    """What every reader does with the rows it has read: filter, choose, fill, pack into arrays and stop."""
+    return _finish(df, columns, filter_, fillvalues, as_array, nrows, order)
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, header: bool = False, columns: list[str] | None = None, filter_=None, fillvalues: dict | None = None, as_array=None, nrows: int | None = None, order: str | None = None, drop_na: bool = False, **options) -> DataFrame:
     """CSV files (plain, gz or bz2 by extension) with valid column names.
 

@@ -129,3 +129,32 @@ def test_dates(spark):
     assert tuple(r[5]) == (2024, 3, 9, 0, 0, 0) and r[6] == [2024, 3, 9, 5, 6, 7] and tuple(r[7]) == (2024, 3, 9, 5, 6, 7)
     with pytest.raises(ValueError):
         dates.masked("t", "YX")
+
+
+EDGES = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 2.5, -2.5, 1e300, -1e300, 1.0, -1.0]
+
+
+def alike(got, want):
+    return (np.isnan(got) and np.isnan(want)) or (got == want and np.signbit(got) == np.signbit(want)) or np.isclose(got, want, rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("name", ["ceil", "floor", "trunc", "signbit", "reciprocal", "isinf", "negative"])
+def test_unary_at_edges(spark, name):
+    rows = spark.createDataFrame([(v,) for v in EDGES], "a double").coalesce(1).select("a", UNARY[name](F.col("a")).alias("v")).collect()
+    with np.errstate(all="ignore"):
+        assert all(alike(float(r["v"]), float(getattr(np, name)(r["a"]))) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["divide", "true_divide", "floor_divide", "copysign", "power", "float_power", "arctan2"])
+def test_binary_at_edges(spark, name):
+    rows = spark.createDataFrame([(a, b) for a in EDGES for b in EDGES], "a double, b double").coalesce(1).select("a", "b", BINARY[name](F.col("a"), F.col("b")).alias("v")).collect()
+    with np.errstate(all="ignore"):
+        bad = [(r["a"], r["b"], r["v"], getattr(np, name)(r["a"], r["b"])) for r in rows if not alike(float(r["v"]), float(getattr(np, name)(r["a"], r["b"])))]
+    assert not bad
+
+
+def test_parts_at_edges(spark):
+    rows = spark.createDataFrame([(v,) for v in EDGES], "a double").coalesce(1).select("a", UNARY["modf"](F.col("a")).alias("v")).collect()
+    assert all(alike(r["v"]["fraction"], np.modf(r["a"])[0]) and alike(r["v"]["whole"], np.modf(r["a"])[1]) for r in rows)
+    rows = spark.createDataFrame([(0.0, 2000.0), (1e-300, 2000.0), (1.5, -3.0), (float("inf"), 2.0)], "a double, b double").coalesce(1).select("a", "b", BINARY["ldexp"](F.col("a"), F.col("b")).alias("v")).collect()
+    assert all(alike(r["v"], np.ldexp(r["a"], int(r["b"]))) for r in rows)
