@@ -147,9 +147,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_RO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Rows of ``docs`` whose text scores at least ``least``, as learnt from ``labels(doc_id, quality)``; only labelled texts are measured for the fit."""
-    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    measured = cut(features(known), "features")
+    """Rows of ``docs`` whose text scores at least ``least``, as learnt from ``labels(doc_id, quality)``.
+
+    Texts are measured for the fit and again to be kept or not: that takes less than moving
+    them, once to their labels or once to their scores, and needs no exchange of texts.
+    """
+    measured = cut(features(docs), "features")
     model = fit_quality(measured, labels)
     release(measured)
     return docs.mapInArrow(_keeping(model, least), docs.schema)
