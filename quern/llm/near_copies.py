@@ -7,9 +7,11 @@ the set and one more), so texts meet on the shingles of their prefixes and no pa
 missed; the sample decides only how many meet in vain.  What meets is bounded by sizes and
 places, and the exact Jaccard similarity of the texts decides each link.
 
-Links are taken in two rounds.  The first compares each text on a shingle with the one next
-to it by size and with the smallest, which joins large groups with few comparisons; the
-second compares all pairs that are not in one group by then.
+Links are taken in three rounds.  The first compares each text on a shingle with the one next
+to it by size and with the smallest; the second does so by the number of shared shingles, so
+that variants of one text meet that text.  Both take comparisons in proportion to the rows and
+join most of a large group.  The third compares all pairs that are not in one group by then
+and were not compared before.
 
 Cases: texts with fewer words than a shingle have one shingle of all of them; null, empty and
 white texts are one node; rows with the same doc_id are one node; a null doc_id takes part
@@ -33,14 +35,16 @@ NONE = -(1 << 63)
 SAMPLE_PART = 4
 #: A shingle in so many texts of the sample is listed as common, up to so many shingles.
 COMMON, LISTED = 2, 2_000_000
-#: Candidate pairs formed at once.
-PAIRS = 1_000_000
+#: Candidate pairs formed at once, rows packed at once, and rows of one part of the keys on average.
+PAIRS, PACKED, PART = 1_000_000, 100_000, 1_000_000
 
 HASHES = pa.schema([("key", pa.int64())])
 SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("prefix", pa.binary())])
 ROWS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("place", pa.int64())])
 MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("place_a", pa.int64()), ("place_b", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+PACKS = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -78,11 +82,80 @@ def _hashing(form: Similar) -> Callable[[Batches], Batches]:
     return run
 
 
+def _packing(schema: pa.Schema, parts: int) -> Callable[[Batches], Batches]:
+    """Rows of longs as one binary for each part of the keys, byte by byte of all rows, so that their high zeros compress."""
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        part = (rows[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        cells = [np.ascontiguousarray(r).view(np.uint8).reshape(len(r), -1).T.tobytes() for r in np.split(rows, start[1:])]
+        return emit({"part": part[start], "cells": cells}, PACKS)
+
+    def run(batches: Batches) -> Batches:
+        held, n = [], 0
+        for batch in batches:
+            held.append(_table(batch, schema.names))
+            n += batch.num_rows
+            if n >= PACKED:
+                yield packed(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield packed(np.concatenate(held))
+
+    return run
+
+
+def _unpacked(batches: Batches, columns: int) -> Iterator[np.ndarray]:
+    """The rows of packs, many at once, sorted by key."""
+    held, n = [], 0
+    for batch in batches:
+        for cells in batch.column("cells"):
+            planes = np.frombuffer(cells.as_buffer(), np.uint8).reshape(8 * columns, -1)
+            held.append(np.ascontiguousarray(planes.T).view(np.int64))
+            n += len(held[-1])
+            if n >= 2 * PACKED:
+                rows, held, n = np.concatenate(held), [], 0
+                yield rows[np.argsort(rows[:, 0], kind="stable")]
+    if n:
+        rows = np.concatenate(held)
+        yield rows[np.argsort(rows[:, 0], kind="stable")]
+
+
+def _met_before(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted ``known`` has each of ``keys``, and whether it does."""
+    at = np.searchsorted(known, keys)
+    inside = np.minimum(at, max(len(known) - 1, 0))
+    return inside, known[inside] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _together(df: DataFrame, made: Callable[[Batches], Batches], schema: pa.Schema, rows: int) -> DataFrame:
+    """About so many ``rows`` made from ``df``, exchanged in packs so that those of one key are in one partition."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART))
+    pack = _packing(schema, parts)
+    return df.mapInArrow(lambda batches: pack(made(batches)), spark_ddl(PACKS)).repartitionById(parts, "part")
+
+
+def _counted(batches: Batches) -> Batches:
+    """Keys that occur often enough, with their number; a task holds the different keys of its part."""
+    known = counts = np.zeros(0, np.int64)
+    for rows in _unpacked(batches, len(HASHES)):
+        keys, n = np.unique(rows[:, 0], return_counts=True)
+        at, old = _met_before(known, keys)
+        counts[at[old]] += n[old]
+        known, counts = np.concatenate([known, keys[~old]]), np.concatenate([counts, n[~old]])
+        order = np.argsort(known, kind="stable")
+        known, counts = known[order], counts[order]
+    yield emit({"key": known[counts >= COMMON], "n": counts[counts >= COMMON]}, COUNTS)
+
+
 def common_shingles(docs: DataFrame, form: Similar) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes that a sample of ``docs`` has in many texts, and how many."""
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PART)) == 0).select("text")
-    counted = sample.mapInArrow(_hashing(form), spark_ddl(HASHES)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = counted.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(LISTED).toArrow()
+    n = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = _together(sample, _hashing(form), HASHES, n // 4).mapInArrow(_counted, spark_ddl(COUNTS))
+    found = counted.orderBy(F.desc("n"), "key").limit(LISTED).toArrow()
     keys = np.asarray(found.column("key").combine_chunks()).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.asarray(found.column("n").combine_chunks())[order]
@@ -127,47 +200,46 @@ def _table(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def _shared(batches: Batches) -> Batches:
-    """Rows, sorted by key, whose key another row has too."""
-    last, known = np.zeros((0, 4), np.int64), False  # the last row so far, and whether it shares its key with one before
-    for batch in batches:
-        rows = np.concatenate([last, _table(batch, ROWS.names)])
-        if len(rows) < 2:
-            last = rows
-            continue
-        same = rows[1:, 0] == rows[:-1, 0]
-        keep = np.concatenate([[known], same])
-        keep[:-1] |= same
-        known = bool(same[-1])
-        last, out = rows[-1:], rows[:-1][keep[:-1]]
-        yield emit(dict(zip(ROWS.names, out.T)), ROWS)
-    if known:
-        yield emit(dict(zip(ROWS.names, last.T)), ROWS)
-
-
-def _neighbours(form: Similar) -> Callable[[Batches], Batches]:
-    """Of rows sorted by (key, size, node): each with the one before it and with the first of its key."""
+    """Rows whose key another row has too; a task holds the first row of each key of its part."""
+    first, told = np.zeros((0, len(ROWS)), np.int64), np.zeros(0, bool)
+    for rows in _unpacked(batches, len(ROWS)):
+        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        alone = new & np.append(new[1:], True)
+        at, old = _met_before(first[:, 0], rows[:, 0])
+        late = np.unique(at[old])
+        late = late[~told[late]]
+        told[late] = True
+        yield emit(dict(zip(ROWS.names, np.concatenate([first[late], rows[old | ~alone]]).T)), ROWS)
+        fresh = new & ~old
+        first, told = np.concatenate([first, rows[fresh]]), np.concatenate([told, ~alone[fresh]])
+        order = np.argsort(first[:, 0], kind="stable")
+        first, told = first[order], told[order]
+
+
+def _neighbours(form: Similar, names: list[str]) -> Callable[[Batches], Batches]:
+    """Of rows sorted by key and a rank: each with the one before it and with the first of its key; ``root`` tells groups apart where it is among ``names``."""
 
     def run(batches: Batches) -> Batches:
-        first = last = np.zeros((0, 4), np.int64)
+        first = last = np.zeros((0, len(names)), np.int64)
         for batch in batches:
-            rows = np.concatenate([first, last, _table(batch, ROWS.names)])
+            rows = np.concatenate([first, last, _table(batch, names)])
             if not len(rows):
                 continue
             new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
             head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
             a, b = np.concatenate([head, np.arange(len(rows) - 1)]), np.concatenate([np.arange(len(rows)), np.arange(1, len(rows))])
             good = rows[a, 0] == rows[b, 0]
-            yield _met(rows, a[good], b[good], [1, 1], form)
+            yield _met(rows, a[good], b[good], names.index("root") if "root" in names else 1, form)
             first, last = rows[head[-1]][None, :], rows[-1:]
 
     return run
 
 
-def _met(rows: np.ndarray, a: np.ndarray, b: np.ndarray, group: list[int], form: Similar) -> pa.RecordBatch:
-    """Pairs of rows (key, node, size, place, ...) that sizes and places allow, and whose ``group`` columns differ."""
+def _met(rows: np.ndarray, a: np.ndarray, b: np.ndarray, group: int, form: Similar) -> pa.RecordBatch:
+    """Pairs of rows (key, node, size, place, ...) that sizes and places allow, and whose ``group`` column differs."""
     size_a, size_b, place_a, place_b = rows[a, 2], rows[b, 2], rows[a, 3], rows[b, 3]
     good = np.minimum(size_a - place_a, size_b - place_b) >= form.common(size_a + size_b)
-    good &= (rows[a, group[0]] != rows[b, group[1]]) & (rows[a, 1] != rows[b, 1])
+    good &= rows[a, group] != rows[b, group]
     swap = rows[a, 1] > rows[b, 1]
     a, b = np.where(swap, b, a)[good], np.where(swap, a, b)[good]
     return emit({"a": rows[a, 1], "b": rows[b, 1], "size_a": rows[a, 2], "size_b": rows[b, 2], "place_a": rows[a, 3], "place_b": rows[b, 3]}, MET)
@@ -188,7 +260,7 @@ def _pairing(form: Similar) -> Callable[[Batches], Batches]:
             k = n[at:to]
             a = np.repeat(np.arange(at, to), k)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-            yield _met(rows, a, b, [4, 4], form)
+            yield _met(rows, a, b, 4, form)
             at = to
 
     def run(batches: Batches) -> Batches:
@@ -235,8 +307,8 @@ def _confirming(form: Similar) -> Callable[[Batches], Batches]:
     return run
 
 
-def _confirmed(met: DataFrame, docs: DataFrame, form: Similar) -> DataFrame:
-    """Links of the candidates ``met`` whose texts are as similar as asked.
+def _confirmed(met: DataFrame, docs: DataFrame, form: Similar, tried: list[DataFrame]) -> DataFrame:
+    """Links of the candidates ``met`` whose texts are as similar as asked; those ``tried`` before are left out, and these are added.
 
     Shared shingles of both prefixes are counted; those not counted come after the last of
     them in both sets, which bounds the overlap.
@@ -244,14 +316,16 @@ def _confirmed(met: DataFrame, docs: DataFrame, form: Similar) -> DataFrame:
     pairs = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), F.max("place_a").alias("pa"), F.max("place_b").alias("pb"))
     most = F.col("n") + F.least(F.col("size_a") - F.col("pa"), F.col("size_b") - F.col("pb")) - 1
     least = F.ceil(F.lit(form.part) * (F.col("size_a") + F.col("size_b")) / F.lit(form.part + form.whole) - F.lit(1e-6))
-    pairs = cut(pairs.filter(most >= least).select("a", "b").distinct(), "near-pairs")
+    pairs = pairs.filter(most >= least).select("a", "b").distinct()
+    for before in tried:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    pairs = cut(pairs, "near-pairs")
+    tried.append(pairs)
     own = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("id"), "text")
     left = own.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(own, F.col("b") == F.col("id")).select("a", "b", "text")
     both = left.unionByName(right).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    links = cut(both.mapInArrow(_confirming(form), spark_ddl(LINKS)), "near-links")
-    release(pairs)
-    return links
+    return cut(both.mapInArrow(_confirming(form), spark_ddl(LINKS)), "near-links")
 
 
 def similar_groups(docs: DataFrame, form: Similar, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -260,17 +334,33 @@ def similar_groups(docs: DataFrame, form: Similar, components: Callable[[DataFra
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, form))
     sets = cut(docs.mapInArrow(_setting(form, sent), spark_ddl(SETS)), "shingle-sets")
     nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    rows = nodes.select("node", "size", "prefix").mapInArrow(_entering, spark_ddl(ROWS))
-    shared = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, spark_ddl(ROWS)), "shared-shingles")
-    met = shared.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_neighbours(form), spark_ddl(MET))
-    roots = cut(components(_confirmed(met, docs, form)), "near-roots")
-    rooted = shared.join(roots, "node", "left").select(*ROWS.names, F.coalesce("root", "node").alias("root"))
-    met = rooted.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_pairing(form), spark_ddl(MET))
-    links = _confirmed(met, docs, form).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    release(shared)
-    roots = components(links)
+    n = sets.agg(F.sum(F.lit(1) + F.col("size") * F.lit(form.whole - form.part) / F.lit(form.whole))).first()[0] or 0
+    rows = _together(nodes.select("node", "size", "prefix"), _entering, ROWS, int(n))
+    shared = cut(rows.mapInArrow(_shared, spark_ddl(ROWS)), "shared-shingles")
+    tried: list[DataFrame] = []
+
+    met = shared.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_neighbours(form, ROWS.names), spark_ddl(MET))
+    roots = cut(components(_confirmed(met, docs, form, tried)), "near-roots")
+
+    hubs = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    rooted = _rooted(shared, roots).join(hubs, "node")
+    met = rooted.repartition("key").sortWithinPartitions("key", F.desc("n"), "node").mapInArrow(_neighbours(form, [*ROWS.names, "root"]), spark_ddl(MET))
+    roots = cut(components(_confirmed(met, docs, form, tried).unionByName(_as_links(roots))), "near-roots")
+
+    met = _rooted(shared, roots).repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_pairing(form), spark_ddl(MET))
+    roots = components(_confirmed(met, docs, form, tried).unionByName(_as_links(roots)))
+    for done in (shared, *tried):
+        release(done)
     named = sets.groupBy("digest").agg(F.min("doc_id").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     doc_id = F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id")
     out = cut(sets.join(named, "digest").select(doc_id, F.lower(F.hex("digest")).alias("fingerprint"), "component_id"), "near-groups")
     release(sets)
     return out
+
+
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    return shared.join(roots, "node", "left").select(*ROWS.names, F.coalesce("root", "node").alias("root"))
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
